@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moiety.llm import decontaminate, packing, tokenfile
+from moiety.llm import decontaminate, neardup, packing, tokenfile, toxicity
+from moiety.llm.sample import fold
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,11 +21,21 @@ def op3_harmonic_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_table(spark, d, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    model = toxicity.learn(docs, _table(spark, d, "labels"), keep=fold("doc_id", 5) != 0)
+    return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op8_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.group(_table(spark, d, "documents"), words=2, percent=80)
+
+
 def op10_token_files(spark: SparkSession, d: str) -> DataFrame:
     return tokenfile.roundtrip(_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_harmonic_pack, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_harmonic_pack, op6_toxicity, op8_near_duplicates, op10_token_files)}
 
 ORACLE = {
     "op1_decontaminate": r"""
@@ -45,4 +56,16 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(pos.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(its.n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(its.n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id""",
+    "op8_near_duplicates": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 1))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+x AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT u, v FROM x JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 80 * (a.n + b.n - k)),
+reach AS (SELECT u, v FROM link UNION SELECT r.u, l.v FROM reach r JOIN link l ON r.v = l.u)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(m.m, w.doc_id)) AS component_id, least(w.doc_id, coalesce(m.m, w.doc_id)) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT u, min(v) AS m FROM reach GROUP BY u) m ON m.u = w.doc_id""",
 }

@@ -3,8 +3,8 @@
 Two zstandard dictionaries are trained from labelled text. The ordinary one is trained on
 windows of ordinary texts. The toxic one has the same content, followed by what is trained on
 the words of toxic texts that hold a byte n-gram far more frequent there (by the likelihood
-ratio of document frequencies, near copies counted once); the ordinary one is filled up with as
-many ordinary words. A text is cut into windows of ``WINDOW`` words; for each, the difference of
+ratio of document frequencies, near copies counted once); the ordinary one is filled up to equal
+length with bytes that no text has, so that a window's two lengths differ by what is toxic only. A text is cut into windows of ``WINDOW`` words; for each, the difference of
 the two compressed lengths is taken. Shares of windows with large differences enter a logistic
 model that is fitted on rows the dictionaries haven't seen, and weighted to the share of toxic
 rows in all labelled ones, so that 0.5 is the calibrated threshold.
@@ -32,59 +32,77 @@ from moiety.llm import textkernel as tk
 from moiety.llm.cluster import small_batches
 from moiety.llm.sample import PER_CLASS, draw
 
-WINDOW, LEVEL, MAX_WINDOW = 8, 3, 400
-BASE_BYTES, CONTRAST_BYTES, MIN_RATIO = 32_768, 8_192, 30.0
-STEPS = (3, 4, 5, 6, 8)
+WINDOW, MAX_WINDOW = 8, 400
+BASE_BYTES, CONTRAST_BYTES, MARGIN, FOLDS = 32_768, 8_192, 6.0, 3
+GRAMS = (5, 6, 7)
+STEPS = (2, 3, 4, 5, 7)
+
+
+#: Begins every window and ends both dictionaries: without a sure match zstandard would store most
+#: windows as they are, and the two lengths would tell nothing.
+MARK = bytes(range(0x80, 0xA0)) + bytes(range(0x01, 0x08)) + b" "
 
 
 def windows(raw: bytes, n: int = WINDOW) -> list[bytes]:
-    """Windows of n words, lower-cased (A-Z), a space around; none longer than MAX_WINDOW bytes."""
-    words = raw.lower().split()
+    """Windows of n folded words, spaces around; none longer than MAX_WINDOW bytes."""
+    words = _folded(raw).tobytes().split()
     out = []
     for i in range(0, len(words), n):
-        w = b" " + b" ".join(words[i : i + n]) + b" "
-        out += [w] if len(w) <= MAX_WINDOW else [w[k : k + MAX_WINDOW] for k in range(0, len(w), MAX_WINDOW)]
+        w = b" ".join(words[i : i + n])
+        out += [MARK + w + b" "] if len(w) <= MAX_WINDOW else [MARK + w[k : k + MAX_WINDOW] + b" " for k in range(0, len(w), MAX_WINDOW)]
     return out
 
 
-def _words(raw: bytes) -> list[bytes]:
-    """Words of letters, digits and non-ASCII bytes, with the spaces around them."""
-    a = np.frombuffer(raw.lower(), np.uint8)
-    s, e, _ = tk.spans(a, np.array([0, len(a)], np.int64), tk.ALNUM)
-    return [b" " + a[i:j].tobytes() + b" " for i, j in zip(s.tolist(), e.tolist())]
+_FOLD = tk.LOWER.copy()
+_FOLD[~tk.ALNUM & ~tk.ALNUM_RAW] = 32
 
 
-def _grams(word: bytes) -> set[bytes]:
-    return {word[i : i + n] for n in (4, 5, 6) for i in range(len(word) - n + 1)}
+def _folded(raw: bytes) -> np.ndarray:
+    """Bytes with A-Z lower-cased and all but letters, digits and non-ASCII bytes as spaces."""
+    return _FOLD[np.frombuffer(b" " + raw + b" ", np.uint8)]
 
 
-def _ratio(k: int, a: int, m: int, b: int) -> float:
-    """Log likelihood ratio of k of a texts against m of b, where the first share is larger."""
-    if k * b <= m * a:
-        return 0.0
+def _grams(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-grams of GRAMS lengths with no space inside (one may be at either end): keys, starts, lengths."""
+    keys, at, size = [], [], []
+    for n in GRAMS:
+        if len(a) < n:
+            continue
+        w = np.lib.stride_tricks.sliding_window_view(a, n)
+        i = np.flatnonzero(~(w[:, 1:-1] == 32).any(axis=1) & (w[:, 0] != w[:, -1]) | (w != 32).all(axis=1))
+        x = np.full(len(i), n, np.uint64)
+        for k in range(n):
+            x = (x << np.uint64(8)) | w[i, k]
+        keys.append(x)
+        at.append(i)
+        size.append(np.full(len(i), n))
+    z = np.zeros(0, np.int64)
+    return (np.concatenate(keys), np.concatenate(at), np.concatenate(size)) if keys else (z.astype(np.uint64), z, z)
+
+
+def _ratios(k: np.ndarray, a: int, m: np.ndarray, b: int) -> np.ndarray:
+    """Log likelihood ratios of k of a texts against m of b; 0 where the first share isn't larger."""
     p = (k + m) / (a + b)
-    h = lambda x, n, q: (x * math.log(x / (n * q)) if x else 0.0) + ((n - x) * math.log((n - x) / (n * (1 - q))) if n > x else 0.0)
-    return 2 * (h(k, a, p) + h(m, b, p))
 
+    def h(x: np.ndarray, n: int) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.nan_to_num(x * np.log(x / (n * p))) + np.nan_to_num((n - x) * np.log((n - x) / (n * (1 - p))))
 
-def _distinct(texts: list[bytes]) -> list[bytes]:
-    """Texts of which no earlier one shares many rare words (near copies)."""
-    seen: dict[bytes, int] = {}
-    out = []
-    for t in texts:
-        words = {w for w in _words(t) if len(w) > 9}
-        least = sorted(words, key=lambda w: hash_bytes(w))[:12]
-        if least and sum(w in seen for w in least) > len(least) // 2:
-            continue
-        seen.update(dict.fromkeys(least, 1))
-        out.append(t)
-    return out
-
+    return np.where(k * b > m * a, 2 * (h(k, a) + h(m, b)), 0.0)
 
-def hash_bytes(w: bytes) -> int:
-    import zlib
 
-    return zlib.crc32(w[::-1]) * 2654435761 & 0xFFFFFFFF
+def _copies(sets: list[np.ndarray]) -> np.ndarray:
+    """Texts whose 32 least mixed n-grams are mostly those of one earlier text (near copies)."""
+    seen: dict[int, list[int]] = {}
+    out = np.zeros(len(sets), bool)
+    for i, g in enumerate(sets):
+        least = np.sort(tk.mix(g))[:32].tolist()
+        met = Counter(k for x in least for k in seen.get(x, ()))
+        out[i] = len(least) > 3 and 2 * max(met.values(), default=0) > len(least)
+        if not out[i]:
+            for x in least:
+                seen.setdefault(x, []).append(i)
+    return out
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
@@ -103,59 +121,99 @@ class Model:
     ordinary: bytes = b""
     toxic: bytes = b""
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    threshold: float = 0.5
+
+    def extractor(self):
+        make = lambda d: zstandard.ZstdCompressor(compression_params=_parameters(), dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress
+        by_ordinary, by_toxic = make(self.ordinary), make(self.toxic)
+        return lambda raw: features([len(by_ordinary(x)) - len(by_toxic(x)) for x in windows(raw)])
 
     def scorer(self):
         if not len(self.weights):
             return lambda raw: self.share
-        make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False, write_checksum=False).compress
-        by_ordinary, by_toxic, w = make(self.ordinary), make(self.toxic), self.weights
+        find, w = self.extractor(), self.weights
+        return lambda raw: 1 / (1 + math.exp(-max(-30.0, min(30.0, float(find(raw) @ w)))))
 
-        def score(raw: bytes) -> float:
-            z = float(features([len(by_ordinary(x)) - len(by_toxic(x)) for x in windows(raw)]) @ w)
-            return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-        return score
-
-    def features_of(self, raw: bytes) -> np.ndarray:
-        one = Model(self.share, self.ordinary, self.toxic)
-        make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False, write_checksum=False).compress
-        a, b = make(one.ordinary), make(one.toxic)
-        return features([len(a(x)) - len(b(x)) for x in windows(raw)])
+def _parameters():
+    """Matches of 5 bytes and more only: shorter ones are chance, and drown what the words tell."""
+    return zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTLAZY2, min_match=5, window_log=16, hash_log=16, chain_log=17, search_log=5, target_length=16, write_content_size=False, write_dict_id=False, write_checksum=False)
 
 
 def features(differences: list[int]) -> np.ndarray:
-    """1, the share of windows at or above each step (square roots), the mean of what is over 2."""
+    """1, the share of windows at or above each step (square roots), the mean of what is over 1."""
     d = np.asarray(differences, float)
     n = len(d)
     if not n:
         return np.array([1.0] + [0.0] * (len(STEPS) + 1))
-    return np.array([1.0, *(math.sqrt(float((d >= s).sum()) / n) for s in STEPS), float(np.clip(d - 2, 0, None).sum()) / n])
+    return np.array([1.0, *(math.sqrt(float((d >= s).sum()) / n) for s in STEPS), float(np.clip(d - 1, 0, None).sum()) / n])
+
+
+def _dictionaries(toxic: list[bytes], ordinary: list[bytes], sets: tuple[list[np.ndarray], list[np.ndarray]]) -> tuple[bytes, bytes]:
+    """Contents (ordinary, toxic), of equal length."""
+    (tu, tc), (ou, oc) = (np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for x in sets)
+    m = np.zeros(len(tu), np.int64)
+    if len(ou):
+        at = np.minimum(np.searchsorted(ou, tu), len(ou) - 1)
+        m = np.where(ou[at] == tu, oc[at], 0)
+    strong = tu[(tc >= 3) & (_ratios(tc, len(sets[0]), m, len(sets[1])) > 2 * math.log(max(2, len(tu))) + MARGIN)]
+    samples = []
+    for t in toxic:
+        a = _folded(t)
+        keys, at, size = _grams(a)
+        hit = np.isin(keys, strong)
+        cover = np.zeros(len(a) + 1, np.int64)
+        np.add.at(cover, at[hit], 1)
+        np.add.at(cover, at[hit] + size[hit], -1)
+        on = np.cumsum(cover)[:-1] > 0
+        space = np.flatnonzero(a == 32)
+        for i, j in zip(space[:-1].tolist(), space[1:].tolist()):
+            if j > i + 1 and on[i + 1 : j].any():
+                samples.append(a[i : j + 1].tobytes())
+    base = _train([w[len(MARK) :] for t in ordinary for w in windows(t, 2 * WINDOW)][:40_000], BASE_BYTES)
+    # zstandard indexes every third place of a dictionary: each word must stand at all three
+    words, size = [], 0
+    for x, _ in Counter(x for x in samples if len(x) <= 64).most_common():
+        size += 3 * len(x) + 6
+        if size > CONTRAST_BYTES:
+            break
+        words.append(x)
+    tail = bytearray(_train(samples, CONTRAST_BYTES // 2) if samples else b"")
+    for x in reversed(words):  # what is frequent comes last, where later entries don't displace it
+        for r in range(3):
+            tail += b" " * ((r - len(base) - len(tail)) % 3) + x
+    tail = bytes(tail)
+    blank = bytes(0xF5 + (7 * i + i // 11) % 11 for i in range(len(tail)))  # bytes that no UTF-8 text has
+    return base + blank + MARK, base + tail + MARK
 
 
 def fit(rows: list[tuple[str, int]], share: float) -> Model:
-    """Learn from (text, label) rows; ``share`` of all labelled rows are toxic."""
-    by = {y: [(t or "").encode() for t, v in rows if v == y] for y in (0, 1)}
-    if min(len(by[0]), len(by[1])) < 10:
+    """Learn from (text, label) rows; ``share`` of all labelled rows are toxic.
+
+    The logistic weights come from FOLDS parts, each seen by dictionaries of the other parts.
+    """
+    texts, y = [(t or "").encode() for t, _ in rows], np.array([v for _, v in rows])
+    if min((y == 0).sum(), (y == 1).sum()) < 10:
         return Model(share)
-    learn = {y: _distinct(t[: len(t) * 3 // 5]) for y, t in by.items()}
-    counts = {y: Counter(g for t in x for g in {g for w in set(_words(t)) for g in _grams(w)}) for y, x in learn.items()}
-    a, b = len(learn[1]), len(learn[0])
-    strong = {g for g, k in counts[1].items() if k >= 4 and _ratio(k, a, counts[0][g], b) >= MIN_RATIO * a / PER_CLASS + 8}
-    picked = [w for t in learn[1] for w in _words(t) if _grams(w) & strong]
-    base = _train([w for t in learn[0] for w in windows(t, 2 * WINDOW)][:40_000], BASE_BYTES)
-    tail = b" ".join(dict.fromkeys(picked[::-1]))[:CONTRAST_BYTES] + _train(picked, CONTRAST_BYTES) if picked else b""
-    filler = b"".join(w for t in learn[0][:200] for w in _words(t) if not _grams(w) & strong)
-    filler = (filler * (1 + len(tail) // max(1, len(filler))))[: len(tail)]
-    model = Model(share, base + filler, base + tail)
-    x, y = [], []
-    for label, texts in by.items():
-        for t in texts[len(texts) * 3 // 5 :]:
-            x.append(model.features_of(t))
-            y.append(label)
-    x, y = np.array(x), np.array(y, float)
-    weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
-    model.weights = logistic(x, y, weight)
+    sets = [np.unique(_grams(_folded(t))[0]) for t in texts]
+    copy = np.zeros(len(y), bool)
+    for v in (0, 1):
+        i = np.flatnonzero(y == v)
+        copy[i] = _copies([sets[k] for k in i])
+    part = np.arange(len(y)) % FOLDS
+
+    def built(own: np.ndarray) -> Model:
+        t, o = np.flatnonzero(own & (y == 1) & ~copy), np.flatnonzero(own & (y == 0) & ~copy)
+        return Model(share, *_dictionaries([texts[k] for k in t], [texts[k] for k in o], ([sets[k] for k in t], [sets[k] for k in o])))
+
+    x = np.zeros((len(y), len(STEPS) + 2))
+    for f in range(FOLDS):
+        find = built(part != f).extractor()
+        for k in np.flatnonzero((part == f) & ~copy):
+            x[k] = find(texts[k])
+    x, v = x[~copy], y[~copy].astype(float)
+    weight = np.where(v == 1, share / max(1, (v == 1).sum()), (1 - share) / max(1, (v == 0).sum())) * len(v)
+    model = built(np.ones(len(y), bool))
+    model.weights = logistic(x, v, weight)
     return model
 
 
