@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moiety.llm import decontaminate, neardup, packing, tokenfile, toxicity
+from moiety.llm import chat, decontaminate, langid, license, neardup, packing, sharding, tokenfile, topk, toxicity
 from moiety.llm.sample import fold
 
 
@@ -17,25 +17,53 @@ def op1_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.find(_table(spark, d, "documents"), _table(spark, d, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_language(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    model = langid.learn(docs, keep=fold("doc_id", 3) != 1)
+    return langid.identify(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op3_harmonic_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_table(spark, d, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return license.scan(_table(spark, d, "documents"))
+
+
+def op5_kd_shards(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.shard(_table(spark, d, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents")
     model = toxicity.learn(docs, _table(spark, d, "labels"), keep=fold("doc_id", 5) != 0)
     return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+#: A conversation that says the marks of a common template, in both roles.
+EXTRA = ((-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"))
+
+
+def op7_chat(spark: SparkSession, d: str) -> DataFrame:
+    extra = spark.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string")
+    rows = _table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest(chat.format_trees(chat.from_rows(rows)))
+
+
 def op8_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return neardup.group(_table(spark, d, "documents"), words=2, percent=80)
 
 
+def op9_top_k(spark: SparkSession, d: str) -> DataFrame:
+    return topk.top_k(_table(spark, d, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
+
+
 def op10_token_files(spark: SparkSession, d: str) -> DataFrame:
     return tokenfile.roundtrip(_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_harmonic_pack, op6_toxicity, op8_near_duplicates, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_harmonic_pack, op4_license_scan, op5_kd_shards, op6_toxicity, op7_chat, op8_near_duplicates, op9_top_k, op10_token_files)}
 
 ORACLE = {
     "op1_decontaminate": r"""
@@ -68,4 +96,27 @@ link AS (SELECT u, v FROM x JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WH
 reach AS (SELECT u, v FROM link UNION SELECT r.u, l.v FROM reach r JOIN link l ON r.v = l.u)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(m.m, w.doc_id)) AS component_id, least(w.doc_id, coalesce(m.m, w.doc_id)) = w.doc_id AS kept
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT u, min(v) AS m FROM reach GROUP BY u) m ON m.u = w.doc_id""",
+    "op9_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op7_chat": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(text, '<(\\*)(\||/?s>)', '<\\\1\2', 'g'), '<(\\*)(</?SYS>>)', '<\\\1\2', 'g'), '\[(\\*)(/?INST\])', '[\\\1\2', 'g') AS et,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(role, '<(\\*)(\||/?s>)', '<\\\1\2', 'g'), '<(\\*)(</?SYS>>)', '<\\\1\2', 'g'), '\[(\\*)(/?INST\])', '[\\\1\2', 'g'), '\|(\\*)>', '|\\\1>', 'g') AS er FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(er) + length(et) + 5 + 8) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
 }
