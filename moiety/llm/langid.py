@@ -31,6 +31,8 @@ from moiety.llm.sample import PER_CLASS, draw
 
 BUCKETS, DIM, NGRAMS = 1 << 16, 16, (2, 3, 4)
 EPOCHS, BATCH, RATE, REJECT = 3, 64, 400.0, 0.001
+#: Gradient steps at least, so that a small sample is learnt too.
+MIN_STEPS = 400
 UND = "und"
 _FOLD = tk.LOWER.copy()
 _FOLD[:0x41] = 32
@@ -135,8 +137,10 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     order = np.argsort(row, kind="stable")
     h, row = h[order], row[order]
     first = np.searchsorted(row, np.arange(len(texts) + 1))
-    steps, done = EPOCHS * -(-len(texts) // BATCH), 0
-    for _ in range(EPOCHS):
+    per_epoch = max(1, -(-len(texts) // BATCH))
+    epochs = max(EPOCHS, -(-MIN_STEPS // per_epoch))
+    steps, done = epochs * per_epoch, 0
+    for _ in range(epochs):
         mixed = rng.permutation(len(texts))
         for s in range(0, len(mixed), BATCH):
             ix = mixed[s : s + BATCH]
