@@ -5,9 +5,10 @@ windows of ordinary texts. The toxic one has the same content, followed by what
 the words of toxic texts that hold a byte n-gram far more frequent there (by the likelihood
 ratio of document frequencies, near copies counted once); the ordinary one is filled up to equal
 length with bytes that no text has, so that a window's two lengths differ by what is toxic only. A text is cut into windows of ``WINDOW`` words; for each, the difference of
-the two compressed lengths is taken. Shares of windows with large differences enter a logistic
-model that is fitted on rows the dictionaries haven't seen, and weighted to the share of toxic
-rows in all labelled ones, so that 0.5 is the calibrated threshold.
+the two compressed lengths is taken. How likely each difference is in toxic and in ordinary
+texts gives a log likelihood ratio per window; their sum and mean and the number of windows enter
+a logistic model. Ratios and model are fitted on rows that the dictionaries haven't seen, and
+weighted to the share of toxic rows in all labelled ones: 0.5 is the calibrated threshold.
 
 Defined results: a null or empty text has no window and gets the score of one without a toxic
 window; with no labelled rows of a class the score is the share of toxic ones (0 with none);
@@ -30,12 +31,13 @@ from pyspark.sql import functions as F
 
 from moiety.llm import textkernel as tk
 from moiety.llm.cluster import small_batches
+from moiety.llm.neardup import shingle_sets
 from moiety.llm.sample import PER_CLASS, draw
 
-WINDOW, MAX_WINDOW = 8, 400
-BASE_BYTES, CONTRAST_BYTES, MARGIN, FOLDS = 32_768, 8_192, 6.0, 3
+WINDOW, MAX_WINDOW = 6, 400
+BASE_BYTES, CONTRAST_BYTES, MARGIN, FOLDS = 65_536, 8_192, 6.0, 3
 GRAMS = (5, 6, 7)
-STEPS = (2, 3, 4, 5, 7)
+LOW, HIGH = -4, 12  # differences beyond these count as these
 
 
 #: Begins every window and ends both dictionaries: without a sure match zstandard would store most
@@ -92,11 +94,11 @@ def _ratios(k: np.ndarray, a: int, m: np.ndarray, b: int) -> np.ndarray:
 
 
 def _copies(sets: list[np.ndarray]) -> np.ndarray:
-    """Texts whose 32 least mixed n-grams are mostly those of one earlier text (near copies)."""
+    """Texts whose 32 least shingle hashes are mostly those of one earlier text (near copies)."""
     seen: dict[int, list[int]] = {}
     out = np.zeros(len(sets), bool)
     for i, g in enumerate(sets):
-        least = np.sort(tk.mix(g))[:32].tolist()
+        least = g[:32].tolist()
         met = Counter(k for x in least for k in seen.get(x, ()))
         out[i] = len(least) > 3 and 2 * max(met.values(), default=0) > len(least)
         if not out[i]:
@@ -120,32 +122,45 @@ class Model:
     share: float
     ordinary: bytes = b""
     toxic: bytes = b""
+    ratios: np.ndarray = field(default_factory=lambda: np.zeros(0))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def extractor(self):
+        """A function from a text's bytes to its histogram of differences."""
         make = lambda d: zstandard.ZstdCompressor(compression_params=_parameters(), dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress
         by_ordinary, by_toxic = make(self.ordinary), make(self.toxic)
-        return lambda raw: features([len(by_ordinary(x)) - len(by_toxic(x)) for x in windows(raw)])
+
+        def find(raw: bytes) -> np.ndarray:
+            d = [len(by_ordinary(x)) - len(by_toxic(x)) for x in windows(raw)]
+            return np.bincount(np.clip(np.array(d, np.int64), LOW, HIGH) - LOW, minlength=HIGH - LOW + 1)
+
+        return find
 
     def scorer(self):
         if not len(self.weights):
             return lambda raw: self.share
         find, w = self.extractor(), self.weights
-        return lambda raw: 1 / (1 + math.exp(-max(-30.0, min(30.0, float(find(raw) @ w)))))
+        return lambda raw: 1 / (1 + math.exp(-max(-30.0, min(30.0, float(features(find(raw), self.ratios) @ w)))))
 
 
 def _parameters():
     """Matches of 5 bytes and more only: shorter ones are chance, and drown what the words tell."""
-    return zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTLAZY2, min_match=5, window_log=16, hash_log=16, chain_log=17, search_log=5, target_length=16, write_content_size=False, write_dict_id=False, write_checksum=False)
+    return zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTLAZY2, min_match=5, window_log=18, hash_log=16, chain_log=17, search_log=5, target_length=16, write_content_size=False, write_dict_id=False, write_checksum=False)
+
+
+def features(histogram: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """1, the log likelihood ratio of all windows (and of the mean one), the log of their number."""
+    n = int(histogram.sum())
+    total = float(histogram @ ratios)
+    return np.array([1.0, max(-4.0, min(4.0, total / 5)), total / max(1, n) * 10, math.log1p(n) / 4])
 
 
-def features(differences: list[int]) -> np.ndarray:
-    """1, the share of windows at or above each step (square roots), the mean of what is over 1."""
-    d = np.asarray(differences, float)
-    n = len(d)
-    if not n:
-        return np.array([1.0] + [0.0] * (len(STEPS) + 1))
-    return np.array([1.0, *(math.sqrt(float((d >= s).sum()) / n) for s in STEPS), float(np.clip(d - 1, 0, None).sum()) / n])
+def window_ratios(histograms: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log ratio of each difference's share in windows of toxic and of ordinary texts; texts weigh by their root length."""
+    n = np.maximum(1, histograms.sum(axis=1, keepdims=True))
+    share = [(h / np.sqrt(m)).sum(axis=0) for h, m in ((histograms[y == v], n[y == v]) for v in (0, 1))]
+    low, high = ((x + 0.5) / (x + 0.5).sum() for x in share)
+    return np.log(high / low)
 
 
 def _dictionaries(toxic: list[bytes], ordinary: list[bytes], sets: tuple[list[np.ndarray], list[np.ndarray]]) -> tuple[bytes, bytes]:
@@ -195,25 +210,29 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model:
     if min((y == 0).sum(), (y == 1).sum()) < 10:
         return Model(share)
     sets = [np.unique(_grams(_folded(t))[0]) for t in texts]
+    shingles, before = shingle_sets(*tk.buffers(pa.array(texts, pa.binary())), 3)
+    shingles = [shingles[a:b] for a, b in zip(before[:-1], before[1:])]
     copy = np.zeros(len(y), bool)
     for v in (0, 1):
         i = np.flatnonzero(y == v)
-        copy[i] = _copies([sets[k] for k in i])
+        copy[i] = _copies([shingles[k] for k in i])
     part = np.arange(len(y)) % FOLDS
 
     def built(own: np.ndarray) -> Model:
         t, o = np.flatnonzero(own & (y == 1) & ~copy), np.flatnonzero(own & (y == 0) & ~copy)
         return Model(share, *_dictionaries([texts[k] for k in t], [texts[k] for k in o], ([sets[k] for k in t], [sets[k] for k in o])))
 
-    x = np.zeros((len(y), len(STEPS) + 2))
+    x = np.zeros((len(y), HIGH - LOW + 1))
     for f in range(FOLDS):
         find = built(part != f).extractor()
         for k in np.flatnonzero((part == f) & ~copy):
             x[k] = find(texts[k])
     x, v = x[~copy], y[~copy].astype(float)
+    ratios = window_ratios(x, v)
+    x = np.array([features(h, ratios) for h in x])
     weight = np.where(v == 1, share / max(1, (v == 1).sum()), (1 - share) / max(1, (v == 0).sum())) * len(v)
     model = built(np.ones(len(y), bool))
-    model.weights = logistic(x, v, weight)
+    model.ratios, model.weights = ratios, logistic(x, v, weight)
     return model
 
 
