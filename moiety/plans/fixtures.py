@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moiety.operators.rows import SGROUPS
+
 #: Order graphs: atoms are line numbers, elements come from flags, bonds join consecutive lines; even orders of three lines and more are rings.
 G = """
 WITH atom AS (
@@ -47,12 +49,17 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def graph_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Atoms (gid, idx, z, n) and bonds (gid, i, j, t) of G; one shuffle by order key serves both."""
+def _ordered_atoms(spark: SparkSession, d: str) -> DataFrame:
+    """(gid, v): a graph's atoms in line order, after one shuffle by order key."""
     line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("fl"))
     atom = line.groupBy(F.col("l_orderkey").alias("gid"), F.col("l_linenumber").alias("ln")).agg(F.min("l_partkey").alias("pk"), F.min("fl").alias("fl"))
     z = F.create_map(*[F.lit(x) for kv in (("AF", 6), ("AO", 7), ("NF", 8), ("NO", 16), ("RF", 9)) for x in kv])
-    graph = atom.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("ln", "pk", F.coalesce(F.try_element_at(z, "fl"), F.lit(17)).alias("z")))).alias("v"))
+    return atom.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("ln", "pk", F.coalesce(F.try_element_at(z, "fl"), F.lit(17)).alias("z")))).alias("v"))
+
+
+def graph_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Atoms (gid, idx, z, n) and bonds (gid, i, j, t) of G."""
+    graph = _ordered_atoms(spark, d)
     atoms = graph.select("gid", F.posexplode("v").alias("idx", "x"), F.size("v").alias("n")).select("gid", "idx", F.col("x.z").alias("z"), "n")
     return atoms, _bonds(graph).select("gid", F.explode("bonds").alias("b")).select("gid", "b.i", "b.j", "b.t")
 
@@ -67,16 +74,11 @@ def _bonds(graph: DataFrame) -> DataFrame:
 
 def graphs(spark: SparkSession, d: str) -> DataFrame:
     """G as index rows for the matcher: compound, atoms, bonds, sgroups, sizes."""
-    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("fl"))
-    atom = line.groupBy(F.col("l_orderkey").alias("gid"), F.col("l_linenumber").alias("ln")).agg(F.min("l_partkey").alias("pk"), F.min("fl").alias("fl"))
-    z = F.create_map(*[F.lit(x) for kv in (("AF", 6), ("AO", 7), ("NF", 8), ("NO", 16), ("RF", 9)) for x in kv])
-    graph = _bonds(atom.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("ln", "pk", F.coalesce(F.try_element_at(z, "fl"), F.lit(17)).alias("z")))).alias("v")))
+    graph = _bonds(_ordered_atoms(spark, d))
     zero = F.lit(0)
     atoms = F.transform("v", lambda x: F.struct(x["z"].cast("int").alias("z"), zero.alias("h"), zero.alias("charge"), zero.alias("mass"), zero.alias("radical"), zero.alias("stereo"), F.lit("").alias("label")))
     none = F.lit(None).cast("int")
     bonds = F.transform("bonds", lambda b: F.struct(b["i"].alias("a"), b["j"].alias("b"), b["t"].alias("type"), zero.alias("stereo"), none.alias("ra"), none.alias("rb")))
-    from moiety.operators.rows import SGROUPS
-
     return graph.select(F.col("gid").alias("compound"), atoms.alias("atoms"), bonds.alias("bonds"), F.array().cast(SGROUPS).alias("sgroups"), F.size("v").alias("n_heavy"), F.lit(0).alias("n_hyd"), F.size("bonds").alias("n_xbond"), F.lit(0).alias("n_hbond"))
 
 

@@ -343,6 +343,25 @@ def tautomer(spark: SparkSession, d: str) -> DataFrame:
     return search.substructure_search(_index(spark, d), "CC(O)=C", search="EXACT", tautomer="INCHI").select("compound")
 
 
+def _hand(query_text: str, *names: str, **modes):
+    """A search over the molecule table whose hits are known by hand."""
+    return lambda spark, d: search.substructure_search(_index(spark, d), query_text, **modes).select("compound"), f"SELECT p_partkey AS compound FROM part WHERE p_partkey % {_N} IN ({', '.join(str(X.MOLECULES.index(n)) for n in names)})"
+
+
+for _name, (_run, _sql) in {
+    "p3_charge_mode": _hand("CN", "CCN", "N[C@@H](C)C(=O)O", "N[C@H](C)C(=O)O", charge="DEFAULT_AS_UNCHARGED"),
+    "p3_isotope_mode": _hand("[13C]", "[13CH4]", isotope="DEFAULT_AS_ANY"),
+    "p3_radical_free": _hand("[Na+]", "[Na+].[Cl-]"),
+    "p1_halogen_query": _hand("[X]C", "CCCl", "F/C=C/F", "F/C=C\\F"),
+    "p4_hydrogen_count": _hand("[H]OC", "[2H]OC", "CCO", "CC(=O)O", "N[C@@H](C)C(=O)O", "N[C@H](C)C(=O)O", "CC(O)=C", "[H]OC", "OCCO", "Oc1ccccc1"),
+    "p8_double_bond_stereo": _hand("F\\C=C\\F", "F/C=C/F", stereo="STRICT"),
+    "m2_detected_aromatic": _hand("C1=CC=CC=C1", "c1ccccc1", "C1=CC=CC=C1", "c1ccc2ccccc2c1", "Oc1ccccc1", aromaticity="DETECT"),
+    "m2_preserved_kekule": (lambda spark, d: search.substructure_search(_index(spark, d), "C1=CC=CC=C1", aromaticity="PRESERVE").select("compound"), "SELECT p_partkey AS compound FROM part WHERE 1 = 0"),
+    "fp6_ring_query": _hand("C1CCCCC1", "C1CCCCC1"),
+}.items():
+    query(_name, _sql)(_run)
+
+
 @query("q_sim_molecules", f"SELECT p_partkey AS compound, CAST(1 AS FLOAT) AS score FROM part WHERE p_partkey % {_N} IN ({X.MOLECULES.index('CCO')}) UNION ALL SELECT p_partkey AS compound, CAST(CAST(3 AS DOUBLE) / (6 + 6 - 3) AS FLOAT) AS score FROM part WHERE p_partkey % {_N} IN ({X.MOLECULES.index('CCN')})" + f" UNION ALL SELECT p_partkey, CAST(CAST(3 AS DOUBLE) / (6 + 6 - 3) AS FLOAT) FROM part WHERE p_partkey % {_N} IN ({X.MOLECULES.index('CCCl')})")
 def similar_molecules(spark: SparkSession, d: str) -> DataFrame:
     """Ethanol against all at radius 1, by hand: ethylamine and chloroethane share 3 of 9 descriptors."""

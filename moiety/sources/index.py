@@ -20,6 +20,7 @@ from moiety.operators import search
 from moiety.operators.prepare import document_frequency, postings, prepare, split
 
 _NAME = re.compile(r"^[a-zA-Z0-9_]+$")
+ROWS_PER_FILE = 500_000
 AUDIT = "compound long, delete boolean"
 ERRORS = "timestamp timestamp, version int, compound long, message string"
 
@@ -164,7 +165,9 @@ class IndexStore:
             # a compound read anew replaces its old row, also if it was only queued as an insert
             rows = old.join(pending.select("compound"), "compound", "left_anti").unionByName(good)
         if optimize:
-            rows = rows.repartition(max(e.segments, rows.rdd.getNumPartitions() // 16), "compound").sortWithinPartitions("n_heavy", "compound")
+            # counts come from Parquet footers; files keep a bounded number of rows however large the index is
+            n = good.count() + (old.count() if e.version else 0)
+            rows = rows.repartition(max(e.segments, -(-n // ROWS_PER_FILE)), "compound").sortWithinPartitions("n_heavy", "compound")
         rows.write.parquet(f"{temp}/molecules")
         stored = self.spark.read.parquet(f"{temp}/molecules")
         postings(stored).repartition("field", "bit").sortWithinPartitions("field", "bit").write.parquet(f"{temp}/postings")
