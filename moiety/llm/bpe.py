@@ -21,7 +21,7 @@ import numpy as np
 
 from moiety.llm import textkernel as tk
 
-CACHE_IDS = 24_000_000
+CACHE_IDS = 4_000_000
 JOIN = 250
 _U = np.uint64
 _ASCII_TEXT = np.zeros(256, bool)  # ASCII, not white space (the separators 1C..1F are left out too)

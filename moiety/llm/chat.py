@@ -104,7 +104,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def from_rows(conversations: DataFrame) -> DataFrame:
-    """A conversation's rows, by turn (ties by role, then text), as a tree that is one chain."""
+    """A conversation's rows, by turn (ties by role, then text), as a tree that is one chain.
+
+    Rows are numbered within their conversation, which becomes one row of the output in any case.
+    """
     w = Window.partitionBy("conv_id").orderBy("turn", F.col("role"), F.col("text"))
     rows = conversations.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(w).cast("long"))
     return rows.select(F.col("conv_id").cast("long").alias("tree"), "node", (F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))

@@ -27,8 +27,8 @@ from moiety.llm import textkernel as tk
 from moiety.llm.cluster import small_batches
 
 WINDOW = 8
-#: The items travel to every executor; beyond this many bytes of item text the call refuses.
-MAX_ITEM_BYTES = 256 << 20
+#: The automaton travels to every executor (some 80 bytes for each byte of item text); beyond this many bytes of text the call refuses.
+MAX_ITEM_BYTES = 8 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = bytes(tk.LOWER)
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>, coverage double"

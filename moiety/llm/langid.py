@@ -74,7 +74,7 @@ class Model:
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n, k = len(offsets) - 1, len(self.languages)
         out = np.zeros((n, k), np.float64)
-        for i, j in tk.chunks(offsets, tk.BLOCK // 2):
+        for i, j in tk.chunks(offsets, tk.BLOCK // 8):
             h, row = buckets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             count = np.maximum(1, np.bincount(row, minlength=j - i))
             for c in range(k):

@@ -29,7 +29,7 @@ from moiety.llm.cluster import small_batches
 from moiety.llm.decontaminate import member, words_of
 
 GRAM, WINDOW, BAND, MIN_COVERAGE = 3, 3, 8, 0.8
-MAX_TEMPLATE_BYTES = 64 << 20
+MAX_TEMPLATE_BYTES = 4 << 20
 #: Short notices; any other templates can be passed.
 NOTICES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),

@@ -59,7 +59,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
-def chunks(offsets: np.ndarray, most: int = 4 * BLOCK) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts hold about ``most`` bytes (a longer text is alone)."""
     n, i = len(offsets) - 1, 0
     while i < n:

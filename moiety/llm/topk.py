@@ -129,7 +129,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     left = c.select("cell", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vec_id", "v", F.lit(False).alias("is_query"))
     both = left.unionByName(_with_cells(qs, cells))
 
-    def task(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def task(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.is_query], pdf[~pdf.is_query]
         width = max(map(len, pdf.v), default=0)
         rows = search_range(a.vec_id.to_numpy(), _matrix(a.v.tolist(), width), b.vec_id.to_numpy(), _matrix(b.v.tolist(), width), k)
