@@ -376,6 +376,37 @@ def pair(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.col("id").cast("long").alias("compound"), search.similarity(F.col("molfile"), F.lit("CCO")).alias("score"))
 
 
+#: (heavy atoms, carbons, oxygens) of every readable structure, and how many circular descriptors of radius 0 and 1 it has
+#: and shares with ethanol; counted by hand. Ethanol has C, C, O and C(-C), C(-C, -O), O(-C).
+_ATOMS = {
+    "CC": (2, 2, 0), "CCO": (3, 2, 1), "CCN": (3, 2, 0), "CC(=O)O": (4, 2, 2), "CCCl": (3, 2, 0), "c1ccccc1": (6, 6, 0), "C1=CC=CC=C1": (6, 6, 0), "c1ccc2ccccc2c1": (10, 10, 0), "[Na+].[Cl-]": (2, 0, 0),
+    "C[N+](C)(C)C": (5, 4, 0), "[13CH4]": (1, 1, 0), "[CH3]": (1, 1, 0), "[2H]OC": (2, 1, 1), "[H]OC": (2, 1, 1), "*CC": (3, 2, 0), "N[C@@H](C)C(=O)O": (6, 3, 2), "N[C@H](C)C(=O)O": (6, 3, 2), "F/C=C/F": (4, 2, 0),
+    "F/C=C\\F": (4, 2, 0), "CC(C)=O": (4, 3, 1), "CC(O)=C": (4, 3, 1), "c1cc[nH]c1": (5, 4, 0), "OCCO": (4, 2, 2), "CC(C)C": (4, 4, 0), "C1CCCCC1": (6, 6, 0), "Oc1ccccc1": (7, 6, 1),
+}
+_SHARED = {
+    "CC": (4, 3), "CCO": (6, 6), "CCN": (6, 3), "CC(=O)O": (8, 5), "CCCl": (6, 3), "c1ccccc1": (12, 2), "C1=CC=CC=C1": (12, 2), "c1ccc2ccccc2c1": (20, 2), "[Na+].[Cl-]": (2, 0), "C[N+](C)(C)C": (10, 2), "[13CH4]": (1, 1), "[CH3]": (1, 1),
+    "[2H]OC": (4, 3), "[H]OC": (4, 3), "*CC": (6, 3), "N[C@@H](C)C(=O)O": (12, 5), "N[C@H](C)C(=O)O": (12, 5), "F/C=C/F": (8, 2), "F/C=C\\F": (8, 2), "CC(C)=O": (8, 4), "CC(O)=C": (8, 5), "c1cc[nH]c1": (10, 2), "OCCO": (8, 5),
+    "CC(C)C": (8, 3), "C1CCCCC1": (12, 2), "Oc1ccccc1": (14, 4),
+}
+
+
+def _values(rows: dict[str, tuple]) -> str:
+    return ", ".join(str((X.MOLECULES.index(name), *v)) for name, v in rows.items())
+
+
+@query("q_sim_molecules_all", f"SELECT p_partkey AS compound, CAST(CAST(shared AS DOUBLE) / (6 + n - shared) AS FLOAT) AS score FROM part JOIN (VALUES {_values(_SHARED)}) v(k, n, shared) ON p_partkey % {_N} = k WHERE shared >= 0.3 * (6 + n - shared)")
+def similar_molecules_all(spark: SparkSession, d: str) -> DataFrame:
+    """Ethanol against all at radius 1, every hit; ``similar_molecules`` keeps the hits of three structures."""
+    return search.similarity_search(_index(spark, d), "CCO", threshold=0.3)
+
+
+@query("q_pair_all", f"""SELECT p_partkey AS compound, CAST(CAST(shared AS DOUBLE) / (3 + n - shared) AS FLOAT) AS score
+  FROM part LEFT JOIN (SELECT k, n, least(c, 2) + least(o, 1) AS shared FROM (VALUES {_values(_ATOMS)}) v(k, n, c, o)) ON p_partkey % {_N} = k""")
+def pair_all(spark: SparkSession, d: str) -> DataFrame:
+    """Each row's structure with ethanol, null for the unreadable one; ``pair`` has the rows of two structures."""
+    return X.molecules(spark, d).select(F.col("id").cast("long").alias("compound"), search.similarity(F.col("molfile"), F.lit("CCO")).alias("score"))
+
+
 @query("fp6_screening")
 def screening(spark: SparkSession, d: str) -> DataFrame:
     """Candidates with screening bits, against all that match: none may be lost."""

@@ -37,6 +37,14 @@ def test_screening_loses_nothing(spark):
     assert rows and all(r["screened"] and r["all"] for r in rows)
 
 
+def test_pair_and_similarity_cover_every_structure(spark):
+    m = {r["id"]: r["molfile"] for r in core.X.molecules(spark, D).collect()}
+    score = {r["compound"]: r["score"] for r in core.QUERIES["q_pair_all"](spark, D).collect()}
+    assert set(score) == set(m) and {m[k] for k, v in score.items() if v is None} == {"not a molecule("}
+    hits = {m[r["compound"]] for r in core.QUERIES["q_sim_molecules_all"](spark, D).collect()}
+    assert hits == {"CC", "CCO", "CCN", "CC(=O)O", "CCCl", "[2H]OC", "[H]OC", "*CC", "N[C@@H](C)C(=O)O", "N[C@H](C)C(=O)O", "CC(C)=O", "CC(O)=C", "OCCO"}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
