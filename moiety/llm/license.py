@@ -10,12 +10,14 @@ the diagonal) gives the matched share of the template and the span in the docume
 
 Defined results: null and empty texts match nothing; templates without words are left out, those
 shorter than GRAM words are one hash; several places in a document are separate rows; of matches
-that overlap, the one of largest coverage stays (then most words, then the first); repeated rows get equal results; an empty table gives
+that overlap, the one of largest coverage stays (then most words, then the one that ends first and is shortest), and
+the words left on both sides are searched again, so adjacent copies are separate rows; repeated rows get equal results; an empty table gives
 an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -70,22 +72,21 @@ def align(template: list, words: list, shift: int, band: int = BAND) -> tuple[in
     A longest common subsequence in which word j of the template meets only words within
     ``band`` of j + shift. Of equally long ones the one that ends first and is shortest.
     """
-    best: dict[int, tuple[int, int, int]] = {}  # last place -> (matched, -first)
-    row: dict[int, tuple[int, int, int]] = {}
+    best = (0, 0, 0)  # matched, -last, first
+    row: dict[int, tuple[int, int]] = {}  # place -> (matched, first), the shortest of the longest up to there
     for j, t in enumerate(template):
-        new: dict[int, tuple[int, int, int]] = {}
+        new: dict[int, tuple[int, int]] = {}
         lo, hi = max(0, j + shift - band), min(len(words), j + shift + band + 1)
         for i in range(lo, hi):
-            up, left, diagonal = row.get(i), new.get(i - 1), row.get(i - 1)
-            take = None
+            value = max(row.get(i, (0, 0)), new.get(i - 1, (0, 0)))
             if words[i] == t:
-                take = (diagonal[0] + 1, diagonal[1], -i) if diagonal else (1, i, -i)
-            new[i] = max((x for x in (up, left, take) if x), key=lambda x: x, default=None) or (0, 0, 0)
-            if not new[i][0]:
-                del new[i]
+                diagonal = row.get(i - 1)
+                take = (diagonal[0] + 1, diagonal[1]) if diagonal else (1, i)
+                value, best = max(value, take), max(best, (take[0], -i, take[1]))
+            if value[0]:
+                new[i] = value
         row = new
-    found = max(row.values(), default=(0, 0, 0)) if row else (0, 0, 0)
-    return found[0], found[1], -found[2]
+    return best[0], best[2], -best[1]
 
 
 class Index:
@@ -106,6 +107,8 @@ class Index:
             self.words.append(words)
         self.post = dict(post)
         self.keys = np.array(sorted(post), np.uint64)
+        #: of equal matches of several templates, the last name stays
+        self.rank = [sorted(set(self.names), reverse=True).index(x) for x in self.names]
         self.short = sorted({len(w) for w in self.words if len(w) < GRAM})
 
     def scan(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, min_coverage: float, band: int) -> list[tuple]:
@@ -122,25 +125,37 @@ class Index:
                 for t, q in self.post[int(gs[p])]:
                     if len(self.words[t]) == n:
                         seeds[t].append((p - q, p))
-        out = []
+        heap: list[tuple] = []
+        done: set[tuple] = set()
+
+        def push(t: int, shift: int, lo: int, hi: int) -> None:
+            """The best match of a template on one diagonal within some words."""
+            n = len(self.words[t])
+            lo, hi = max(lo, shift - band, 0), min(hi, shift + n + band, len(h))
+            if hi <= lo or hi - lo < min_coverage * n or (t, shift, lo, hi) in done:
+                return
+            done.add((t, shift, lo, hi))
+            words = [tk.text_of(data, a, b).lower() for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
+            matched, a, b = align(self.words[t], words, shift - lo, band)
+            if matched and matched >= min_coverage * n:
+                heapq.heappush(heap, (-matched / n, -matched, b + lo + 1, -(a + lo), self.rank[t], t, shift, lo, hi))
+
         for t, own in seeds.items():
-            template, last, found = self.words[t], None, []
-            for shift in sorted({d for d, _ in own}):
-                if last is not None and shift - last <= band // 2:
-                    continue
-                last = shift
-                lo, hi = max(0, shift - band), min(len(h), shift + len(template) + band)
-                words = [tk.text_of(data, a, b).lower() for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
-                matched, a, b = align(template, words, shift - lo, band)
-                if matched >= min_coverage * len(template):
-                    found.append((matched, -(a + lo), a + lo, b + lo + 1))
-            out += [(m / len(template), m, first, a, b, self.names[t]) for m, first, a, b in found]
+            for shift in {d for d, _ in own}:
+                push(t, shift, 0, len(h))
         taken: list[tuple[int, int]] = []
         best = []
-        for coverage, matched, _, a, b, name in sorted(out, reverse=True):
+        while heap:
+            _, matched, b, a, _, t, shift, lo, hi = heapq.heappop(heap)
+            a, n = -a, len(self.words[t])
             if all(b <= x or a >= y for x, y in taken):
                 taken.append((a, b))
-                best.append((name, coverage, matched, a, b, int(starts[a]), int(ends[b - 1])))
+                best.append((self.names[t], -matched / n, -matched, a, b, int(starts[a]), int(ends[b - 1])))
+            # what is free of the candidate's words may hold another match
+            for x, y in sorted(v for v in taken if v[0] < hi and v[1] > lo):
+                push(t, shift, lo, x)
+                lo = y
+            push(t, shift, lo, hi)
         return best
 
 

@@ -1,5 +1,6 @@
 """Plain functions of the operators against brute force."""
 
+import itertools
 import random
 import re
 import zlib
@@ -221,6 +222,37 @@ def test_license_index():
     assert not found("one two three only") and not found("")
 
 
+def slow_places(template, words, least):
+    """Spans by trying all of them: most matched first, then the one that ends first and is shortest."""
+    def lcs(x, y):
+        row = [0] * (len(y) + 1)
+        for u in x:
+            row = list(itertools.accumulate(range(1, len(y) + 1), lambda v, k, row=row, u=u: max(v, row[k], row[k - 1] + (u == y[k - 1])), initial=0))
+        return row[-1]
+    spans = [(lcs(template, words[a:b]), -b, a) for b in range(1, len(words) + 1) for a in range(max(0, b - 13), b)]
+    out = []
+    for m, b, a in sorted(spans, reverse=True):
+        if m >= least * len(template) and all(-b <= x or a >= y for x, y in out):
+            out.append((a, -b))
+    return sorted(out)
+
+
+def places(index, text, least=0.8):
+    data, offsets = tk.buffers(pa.array([text]))
+    s, e, _ = tk.spans(data, offsets, tk.ALNUM_RAW)
+    return sorted(x[3:5] for x in index.scan(data, s, e, tk.hash_spans(data, s, e), least, license.BAND))
+
+
+@pytest.mark.parametrize("gap", range(5))
+@pytest.mark.parametrize("copies", [1, 2, 3, 7])
+def test_adjacent_copies_are_separate(copies, gap):
+    notice = "released under the mit license".split()
+    words = [*(["pad"] * gap + notice) * copies, "end"]
+    got = places(license.Index([("mit", " ".join(notice))]), " ".join(words))
+    assert got == [(k * (5 + gap) + gap, (k + 1) * (5 + gap)) for k in range(copies)]
+    assert got == slow_places(notice, words, 0.8)
+
+
 def test_winnowing_shares_a_hash_with_every_long_common_run():
     rng = np.random.default_rng(2)
     for _ in range(50):
