@@ -1,12 +1,17 @@
-"""License scans: winnowed fingerprints pick candidates, banded alignment confirms them.
+"""License scans: shared words or word runs pick candidates, banded alignment confirms them.
 
 Templates and documents are words (letters, digits and non-ASCII bytes, A-Z lower-cased). Each
-run of ``GRAM`` words is hashed; of every ``WINDOW`` neighbouring hashes the least is kept (the
-last of equal ones), so any shared run of GRAM + WINDOW - 1 words shares a kept hash. An inverted
-index maps a template's kept hashes to (template, place). A document's kept hashes that it holds
-are seeds; seeds of one template on near diagonals make a candidate, and a banded alignment of
-the template against the words around it (longest common subsequence, at most ``BAND`` words off
-the diagonal) gives the matched share of the template and the span in the document.
+run of ``GRAM`` words is hashed; an inverted index maps a template's hashes to (template, place).
+A document's hashes that it holds are seeds; a banded alignment of the template against the words
+around each seed (longest common subsequence, at most ``BAND`` words off its diagonal) gives the
+matched share of the template and the span in the document.
+
+How a template is looked up depends on what its least coverage leaves whole: if e of n words may be
+lost, some run of (n - e) / (e + 1) words stays. Templates of up to ``SHORT`` words, and those whose
+run is shorter than GRAM, are looked up by every word, so no match can be missed. The others are
+looked up by all word runs of the document, or, where the run is of GRAM + WINDOW - 1 words at
+least, by its winnowed ones (of every ``WINDOW`` neighbouring hashes the least is kept, the last of
+equal ones); a match of these is found unless words added to the document break every such run.
 
 Defined results: null and empty texts match nothing; templates without words are left out, those
 shorter than GRAM words are one hash; several places in a document are separate rows; of matches
@@ -18,6 +23,7 @@ an empty result; columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import heapq
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,6 +37,8 @@ from moiety.llm.cluster import small_batches
 from moiety.llm.decontaminate import member, words_of
 
 GRAM, WINDOW, BAND, MIN_COVERAGE = 3, 3, 8, 0.8
+#: Templates of at most so many words are looked up by each of their words.
+SHORT = 16
 MAX_TEMPLATE_BYTES = 4 << 20
 #: Short notices; any other templates can be passed.
 NOTICES = (
@@ -89,6 +97,11 @@ def align(template: list, words: list, shift: int, band: int = BAND) -> tuple[in
     return best[0], best[2], -best[1]
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    ends = np.cumsum([len(x) for x in words])
+    return tk.hash_spans(np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], ends[:-1])), ends)
+
+
 class Index:
     def __init__(self, templates: list[tuple[str, str]]) -> None:
         self.names, self.words = [], []
@@ -97,9 +110,7 @@ class Index:
             words = words_of(text)
             if not words:
                 continue
-            blob = np.frombuffer(b"".join(words), np.uint8)
-            ends = np.cumsum([len(x) for x in words])
-            g = grams(tk.hash_spans(blob, np.concatenate(([0], ends[:-1])), ends))
+            g = grams(_hashes(words)) if len(words) > SHORT else ()
             # every hash of a template is indexed, so that its ends cannot hide the one a document keeps
             for p in range(len(g)):
                 post[int(g[p])].append((len(self.names), p))
@@ -109,22 +120,56 @@ class Index:
         self.keys = np.array(sorted(post), np.uint64)
         #: of equal matches of several templates, the last name stays
         self.rank = [sorted(set(self.names), reverse=True).index(x) for x in self.names]
-        self.short = sorted({len(w) for w in self.words if len(w) < GRAM})
+        self.hashes = [_hashes(w) for w in self.words]
+        self._made: dict[float, tuple] = {}
+
+    def lookup(self, min_coverage: float) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray, set[int]]:
+        """Words of the templates looked up by word, the templates of each and how often they hold it, the words
+        each template needs, and the templates looked up by winnowed runs."""
+        if min_coverage not in self._made:
+            need = np.array([max(1, math.ceil(min_coverage * len(w) - 1e-9)) for w in self.words], np.int64)
+            run = [-(-n // (len(w) - n + 1)) if n <= len(w) else len(w) for n, w in zip(need.tolist(), self.words)]
+            post: dict[int, dict[int, int]] = defaultdict(dict)
+            for t, w in enumerate(self.hashes):
+                if len(w) <= SHORT or run[t] < GRAM:
+                    for x in w.tolist():
+                        post[x][t] = post[x].get(t, 0) + 1
+            keys = np.array(sorted(post), np.uint64)
+            self._made[min_coverage] = keys, [np.array([*post[int(x)]]) for x in keys], [np.array([*post[int(x)].values()]) for x in keys], need, {t for t, w in enumerate(self.words) if len(w) > SHORT and run[t] >= GRAM + WINDOW - 1}
+        return self._made[min_coverage]
+
+    def _by_word(self, h: np.ndarray, min_coverage: float, band: int) -> Iterator[tuple[int, list[int]]]:
+        """(template, diagonals) where a document has enough of a template's words together."""
+        keys, of, times, need, _ = self.lookup(min_coverage)
+        hit = np.flatnonzero(member(keys, h))
+        if not len(hit):
+            return
+        which = np.searchsorted(keys, h[hit])
+        held, count = np.unique(which, return_counts=True)
+        total = np.zeros(len(self.words), np.int64)
+        for k, n in zip(held.tolist(), count.tolist()):
+            total[of[k]] += np.minimum(times[k], n)
+        for t in np.flatnonzero((total > 0) & (total >= need)).tolist():
+            own = self.hashes[t]
+            places = {x: hit[h[hit] == np.uint64(x)] for x in set(own.tolist())}
+            shifts = np.unique(np.concatenate([places[x] - q for q, x in enumerate(own.tolist())]))
+            lo, hi = shifts - band, shifts + len(own) + band
+            # at most so many words can match between lo and hi
+            most = sum(np.minimum(np.searchsorted(p, hi) - np.searchsorted(p, lo), np.count_nonzero(own == np.uint64(x))) for x, p in places.items())
+            yield t, shifts[most >= need[t]].tolist()
 
     def scan(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, min_coverage: float, band: int) -> list[tuple]:
         """Matches in one document, given its word spans and hashes."""
-        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        g = grams(h)
-        kept = winnow(g) if len(h) >= GRAM else np.zeros(0, np.int64)
-        for p in kept[member(self.keys, g[kept])].tolist():
+        seeds: dict[int, set[int]] = defaultdict(set)
+        for t, shifts in self._by_word(h, min_coverage, band):
+            seeds[t].update(shifts)
+        _, _, _, need, sparse = self.lookup(min_coverage)
+        g = grams(h) if len(h) >= GRAM else np.zeros(0, np.uint64)
+        kept = set(winnow(g).tolist()) if sparse else set()
+        for p in np.flatnonzero(member(self.keys, g)).tolist():
             for t, q in self.post[int(g[p])]:
-                seeds[t].append((p - q, p))
-        for n in self.short:  # templates of one or two words are looked up at every place
-            gs = grams(h, n) if len(h) >= n else np.zeros(0, np.uint64)
-            for p in np.flatnonzero(member(self.keys, gs)).tolist():
-                for t, q in self.post[int(gs[p])]:
-                    if len(self.words[t]) == n:
-                        seeds[t].append((p - q, p))
+                if p in kept or t not in sparse:
+                    seeds[t].add(p - q)
         heap: list[tuple] = []
         done: set[tuple] = set()
 
@@ -140,9 +185,13 @@ class Index:
             if matched and matched >= min_coverage * n:
                 heapq.heappush(heap, (-matched / n, -matched, b + lo + 1, -(a + lo), self.rank[t], t, shift, lo, hi))
 
-        for t, own in seeds.items():
-            for shift in {d for d, _ in own}:
-                push(t, shift, 0, len(h))
+        for t, shifts in seeds.items():
+            if len(h) >= need[t]:
+                # words of the template up to each place: a diagonal with too few around it holds no match
+                some = np.concatenate(([0], np.cumsum(member(np.unique(self.hashes[t]), h))))
+                for shift in shifts:
+                    if some[min(len(h), max(0, shift + len(self.words[t]) + band))] - some[max(0, shift - band)] >= need[t]:
+                        push(t, shift, 0, len(h))
         taken: list[tuple[int, int]] = []
         best = []
         while heap:
@@ -175,6 +224,7 @@ def scan(docs: DataFrame, templates: tuple | list | DataFrame = NOTICES, min_cov
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
+        words = index.lookup(min_coverage)[0]
         for batch in batches:
             data, offsets = tk.buffers(batch.column(1))
             names = batch.column(0).to_pylist()
@@ -185,12 +235,12 @@ def scan(docs: DataFrame, templates: tuple | list | DataFrame = NOTICES, min_cov
                 h = tk.hash_spans(part, starts, ends)
                 # texts with no indexed hash at all are passed by
                 g = grams(h) if len(h) >= GRAM else np.zeros(0, np.uint64)
-                some = np.zeros(len(h) + 1, np.int64)
-                some[1 : len(g) + 1] = member(index.keys, g)
-                some = np.cumsum(some)
+                some = member(words, h)
+                some[: len(g)] |= member(index.keys, g)
+                some = np.concatenate(([0], np.cumsum(some)))
                 for r in range(j - i):
                     a, b = before[r], before[r + 1]
-                    if b > a and (index.short or some[b] > some[a]):
+                    if some[b] > some[a]:
                         base = int(offsets[i + r] - offsets[i])
                         rows += [(names[i + r], *x[:5], x[5] - base, x[6] - base) for x in index.scan(part, starts[a:b], ends[a:b], h[a:b], min_coverage, band)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(_SCHEMA), _SCHEMA)], schema=_SCHEMA)

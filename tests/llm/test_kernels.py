@@ -229,7 +229,7 @@ def slow_places(template, words, least):
         for u in x:
             row = list(itertools.accumulate(range(1, len(y) + 1), lambda v, k, row=row, u=u: max(v, row[k], row[k - 1] + (u == y[k - 1])), initial=0))
         return row[-1]
-    spans = [(lcs(template, words[a:b]), -b, a) for b in range(1, len(words) + 1) for a in range(max(0, b - 13), b)]
+    spans = [(lcs(template, words[a:b]), -b, a) for b in range(1, len(words) + 1) for a in range(max(0, b - len(template) - license.BAND), b)]
     out = []
     for m, b, a in sorted(spans, reverse=True):
         if m >= least * len(template) and all(-b <= x or a >= y for x, y in out):
@@ -253,6 +253,25 @@ def test_adjacent_copies_are_separate(copies, gap):
     assert got == slow_places(notice, words, 0.8)
 
 
+def test_every_edit_of_a_notice_that_reaches_the_coverage_is_found():
+    for name, text in license.NOTICES:
+        notice = [w.decode() for w in license.words_of(text)]
+        index = license.Index([(name, text)])
+        n = len(notice)
+        edits = [[*notice[:k], *new, *notice[k + cut :]] for k in range(n) for cut in (0, 1) for new in ([], ["zz"])]
+        edits += [[*e[:k], "yy", *e[k:]] for e in edits[:: 3] for k in range(1, len(e))]
+        for e in edits:
+            words = ["the", "pad", *e, "pad", "work"]
+            assert places(index, " ".join(words)) == slow_places(notice, words, 0.8), (name, e)
+
+
+def test_a_long_template_is_found_with_a_fifth_of_its_words_changed():
+    text = [f"w{k}" for k in range(100)]
+    index = license.Index([("t", " ".join(text))])
+    words = ["zz" if k % 5 == 4 else w for k, w in enumerate(text)]
+    assert places(index, "a b " + " ".join(words)) == [(2, 101)]
+
+
 def test_winnowing_shares_a_hash_with_every_long_common_run():
     rng = np.random.default_rng(2)
     for _ in range(50):
