@@ -26,6 +26,7 @@ import heapq
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +53,16 @@ NOTICES = (
     ("mpl-2.0", "Released under the Mozilla Public License, Version 2.0."),
     ("cc0-1.0", "Dedicated to the public domain under CC0 1.0."),
 )
+#: Full texts and standard headers of licenses, <name>.text and <name>.header.
+FILES = Path(__file__).parent / "licenses"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("template", pa.string()), ("coverage", pa.float64()), ("matched", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("start_byte", pa.int64()), ("end_byte", pa.int64())])
 
 
+def standard(kind: str) -> tuple[tuple[str, str], ...]:
+    """(name-kind, text) of the files of a kind, text or header."""
+    return tuple((f"{p.stem}-{kind}", p.read_text(encoding="utf-8")) for p in sorted(FILES.glob(f"*.{kind}")))
+
+
 def grams(h: np.ndarray, n: int = GRAM) -> np.ndarray:
     """Hash of each run of n word hashes; of all words where there are fewer."""
     n = min(n, len(h))
@@ -102,6 +110,16 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return tk.hash_spans(np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], ends[:-1])), ends)
 
 
+def bound(template: np.ndarray, h: np.ndarray, shift: int, band: int) -> int:
+    """Words of the template with an equal one in the band: no fewer than can be aligned."""
+    some = np.zeros(len(template), bool)
+    for d in range(shift - band, shift + band + 1):
+        a, b = max(0, -d), min(len(template), len(h) - d)
+        if b > a:
+            some[a:b] |= template[a:b] == h[a + d : b + d]
+    return int(np.count_nonzero(some))
+
+
 class Index:
     def __init__(self, templates: list[tuple[str, str]]) -> None:
         self.names, self.words = [], []
@@ -190,7 +208,7 @@ class Index:
                 # words of the template up to each place: a diagonal with too few around it holds no match
                 some = np.concatenate(([0], np.cumsum(member(np.unique(self.hashes[t]), h))))
                 for shift in shifts:
-                    if some[min(len(h), max(0, shift + len(self.words[t]) + band))] - some[max(0, shift - band)] >= need[t]:
+                    if some[min(len(h), max(0, shift + len(self.words[t]) + band))] - some[max(0, shift - band)] >= need[t] and bound(self.hashes[t], h, shift, band) >= need[t]:
                         push(t, shift, 0, len(h))
         taken: list[tuple[int, int]] = []
         best = []
@@ -208,9 +226,12 @@ class Index:
         return best
 
 
-def scan(docs: DataFrame, templates: tuple | list | DataFrame = NOTICES, min_coverage: float = MIN_COVERAGE, band: int = BAND) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple | list | DataFrame = NOTICES, min_coverage: float = MIN_COVERAGE, band: int = BAND, apart: tuple = ()) -> DataFrame:
     """One row per template found in a document: coverage, matched words, span in words and bytes.
 
+    ``apart`` holds further lists of pairs; each is scanned for in the same pass, and its matches are
+    held against each other only, so that a header does not hide the full text that quotes it.
+
     ``templates`` are (name, text) pairs or a DataFrame with these columns, collected behind a
     check of their size.
     """
@@ -220,11 +241,12 @@ def scan(docs: DataFrame, templates: tuple | list | DataFrame = NOTICES, min_cov
             raise ValueError(f"templates hold {size} bytes; {MAX_TEMPLATE_BYTES} fit on every executor")
         templates = [(r[0], r[1]) for r in templates.select("name", "text").collect()]
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(Index(list(templates)))
+    shared = docs.sparkSession.sparkContext.broadcast([Index(list(x)) for x in (templates, *apart)])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        words = index.lookup(min_coverage)[0]
+        indexes = shared.value
+        keys = np.unique(np.concatenate([x.keys for x in indexes]))
+        words = np.unique(np.concatenate([x.lookup(min_coverage)[0] for x in indexes]))
         for batch in batches:
             data, offsets = tk.buffers(batch.column(1))
             names = batch.column(0).to_pylist()
@@ -236,13 +258,13 @@ def scan(docs: DataFrame, templates: tuple | list | DataFrame = NOTICES, min_cov
                 # texts with no indexed hash at all are passed by
                 g = grams(h) if len(h) >= GRAM else np.zeros(0, np.uint64)
                 some = member(words, h)
-                some[: len(g)] |= member(index.keys, g)
+                some[: len(g)] |= member(keys, g)
                 some = np.concatenate(([0], np.cumsum(some)))
                 for r in range(j - i):
                     a, b = before[r], before[r + 1]
                     if some[b] > some[a]:
                         base = int(offsets[i + r] - offsets[i])
-                        rows += [(names[i + r], *x[:5], x[5] - base, x[6] - base) for x in index.scan(part, starts[a:b], ends[a:b], h[a:b], min_coverage, band)]
+                        rows += [(names[i + r], *x[:5], x[5] - base, x[6] - base) for index in indexes for x in index.scan(part, starts[a:b], ends[a:b], h[a:b], min_coverage, band)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(_SCHEMA), _SCHEMA)], schema=_SCHEMA)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, template string, coverage double, matched long, start_word long, end_word long, start_byte long, end_byte long")

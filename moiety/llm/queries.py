@@ -28,7 +28,7 @@ def op3_harmonic_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, d: str) -> DataFrame:
-    return license.scan(_table(spark, d, "documents"))
+    return license.scan(_table(spark, d, "documents"), apart=(license.standard("header"), license.standard("text")))
 
 
 def op5_kd_shards(spark: SparkSession, d: str) -> DataFrame:

@@ -167,6 +167,15 @@ def test_license_query_finds_every_notice(spark, docs):
     assert want <= got
 
 
+def test_license_query_finds_texts_and_headers(spark, tmp_path):
+    texts = dict(license.standard("text") + license.standard("header"))
+    rows = [(k, f"Copyright somebody\n{v}\nint main() {{}}") for k, v in enumerate(texts.values())]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op4_license_scan(spark, str(tmp_path)).filter("coverage = 1").collect()
+    assert {(k, v) for k, v in enumerate(texts)} <= {(r["doc_id"], r["template"]) for r in got}
+    assert len(texts) == 9
+
+
 # ---- 5
 
 def check_shards(df, got, shards=16):
