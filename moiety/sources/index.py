@@ -212,6 +212,10 @@ class IndexStore:
             self._open[index] = (e.version, df.cache())
         return self._open[index][1]
 
+    def ids(self, index: str) -> DataFrame:
+        """(compound) of the current version; none before the first sync."""
+        return self.molecules(index).select("compound") if self.entry(index).version else self.spark.createDataFrame([], "compound long")
+
     def docfreq(self, index: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{index}/v={self._synced(index).version}/docfreq")
 
@@ -252,9 +256,19 @@ def snapshot_changes(old: DataFrame, new: DataFrame, id_column: str = "id", stru
     return changed.select("compound", F.col("was").isNotNull().alias("delete"))
 
 
-def event_changes(events: DataFrame) -> DataFrame:
-    """(compound, delete) of a log (compound, kind): INSERT, UPDATE, DELETE, TRUNCATE as delete of all."""
-    return events.filter(F.col("kind").isin("INSERT", "UPDATE", "DELETE")).select("compound", (F.col("kind") != "INSERT").alias("delete"))
+def event_changes(events: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(compound, delete) of a log (compound, kind): INSERT, UPDATE, DELETE, TRUNCATE as delete of all ``ids`` (compound).
+
+    Without ``ids`` a TRUNCATE fails when it is read.
+    """
+    known, emptied = F.col("kind").isin("INSERT", "UPDATE", "DELETE"), F.col("kind") == "TRUNCATE"
+    if ids is None:
+        known = F.when(emptied, F.raise_error(F.lit("TRUNCATE needs the ids of the index")).cast("boolean")).otherwise(known)
+    out = events.filter(known).select("compound", (F.col("kind") != "INSERT").alias("delete"))
+    if ids is None:
+        return out
+    all_ = events.filter(emptied).limit(1).select(F.lit(True).alias("delete"))
+    return out.unionByName(ids.select(F.col("compound").cast("long")).crossJoin(all_))
 
 
 def balanced_merge(sizes: list[int], most: int) -> list[list[int]]:

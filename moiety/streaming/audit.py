@@ -15,7 +15,7 @@ def feed(store: IndexStore, index: str, events: DataFrame, checkpoint: str, tabl
     """
 
     def settle(batch: DataFrame, _: int) -> None:
-        store.enqueue(index, collapse(event_changes(batch)))
+        store.enqueue(index, collapse(event_changes(batch, store.ids(index))))
         if sync_each:
             store.sync_data(index, table=table() if table else None)
 

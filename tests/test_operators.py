@@ -150,6 +150,24 @@ def test_feed(spark, table, tmp_path):
     assert ids(store.molecules("mols")) == [2, 3]
 
 
+def test_truncate_empties_the_index(spark, table, tmp_path):
+    log = spark.createDataFrame([(None, "TRUNCATE"), (9, "INSERT")], "compound long, kind string")
+    ids_ = spark.createDataFrame([(1,), (2,)], "compound long")
+    assert sorted(map(tuple, collapse(event_changes(log, ids_)).collect())) == [(1, True), (2, True), (9, False)]
+    assert sorted(map(tuple, event_changes(log.filter("kind = 'INSERT'"), ids_).collect())) == [(9, False)]
+    with pytest.raises(Exception, match="TRUNCATE needs"):
+        event_changes(log).collect()
+    store = IndexStore(spark, f"file://{tmp_path}/store")
+    store.add_index("mols", "", "t", table=table.filter("id < 3"))
+    store.sync_data("mols", table=table.filter("id < 3"))
+    log.withColumn("compound", F.when(F.col("kind") == "INSERT", 3)).write.parquet(str(tmp_path / "log"))
+    events = spark.readStream.schema("compound long, kind string").parquet(str(tmp_path / "log"))
+    q = feed(store, "mols", events, str(tmp_path / "ck"), table=lambda: table.filter("id = 3"))
+    q.processAllAvailable()
+    q.stop()
+    assert ids(store.molecules("mols")) == [3]
+
+
 def test_sql(spark, molecules):
     sql.register(spark, molecules)
     assert ids(spark.sql("SELECT * FROM substructure_search('CO')")) == [1, 3, 6, 7, 8]
