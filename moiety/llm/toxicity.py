@@ -1,17 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from labelled text. The ordinary one is trained on
-windows of ordinary texts. The toxic one has the same content, followed by what is trained on
-the words of toxic texts that hold a byte n-gram far more frequent there (by the likelihood
-ratio of document frequencies, near copies counted once); the ordinary one is filled up to equal
-length with bytes that no text has, so that a window's two lengths differ by what is toxic only. A text is cut into windows of ``WINDOW`` words; for each, the difference of
-the two compressed lengths is taken. How likely each difference is in toxic and in ordinary
-texts gives a log likelihood ratio per window; their sum and mean and the number of windows enter
-a logistic model. Ratios and model are fitted on rows that the dictionaries haven't seen, and
-weighted to the share of toxic rows in all labelled ones: 0.5 is the calibrated threshold.
+Two zstandard dictionaries (of SIZE bytes, or of all windows where these are fewer) are trained: one on windows of ordinary texts, one on
+windows of toxic texts. A window is ``WINDOW`` folded words. Its distance is the difference of its two
+compressed lengths, over the bytes that a whole match would save; it runs from -1 (only the
+ordinary dictionary knows it) to 1 (only the toxic one does).
+
+Most windows of a toxic text are ordinary. So the toxic dictionary is trained again in ``ROUNDS``
+on those windows of toxic texts that dictionaries of the *other* labelled texts already find
+nearer to toxic (at a distance ``LIFT`` times as frequent there as in ordinary texts).
+
+How likely each distance is in toxic and in ordinary texts gives a log likelihood ratio per
+window; the sum and mean of a text's distinct windows and their number enter a logistic model. Ratios and
+model are fitted on texts that the dictionaries haven't seen, and weighted to the share of toxic
+rows in all labelled ones: 0.5 is the calibrated threshold.
 
 Defined results: a null or empty text has no window and gets the score of one without a toxic
-window; with no labelled rows of a class the score is the share of toxic ones (0 with none);
+window; with no labelled row of a class the score is the share of toxic ones (0 with none); with
+one row of a class nothing can be held back, and the model is fitted on what it learnt from;
 repeated rows get equal scores; an empty table gives an empty result. Columns other than doc_id
 and text are not read.
 """
@@ -34,24 +39,27 @@ from moiety.llm.cluster import small_batches
 from moiety.llm.neardup import shingle_sets
 from moiety.llm.sample import PER_CLASS, draw
 
-WINDOW, MAX_WINDOW = 6, 400
-BASE_BYTES, CONTRAST_BYTES, MARGIN, FOLDS = 65_536, 8_192, 6.0, 3
-GRAMS = (5, 6, 7)
-LOW, HIGH = -4, 12  # differences beyond these count as these
-
+WINDOW, MAX_WINDOW = 1, 400
+SIZE, FOLDS, ROUNDS, LIFT = 131_072, 4, 2, 3.0
+BINS = 21  # distances from -1 to 1
+#: Windows whose distance a worker remembers; words come back, so most are not compressed twice.
+REMEMBER = 200_000
 
-#: Begins every window and ends both dictionaries: without a sure match zstandard would store most
-#: windows as they are, and the two lengths would tell nothing.
+#: Begins every window and ends both dictionaries (bytes that no text holds in this order): without a sure
+#: match zstandard would store short windows as they are, and the two lengths would tell nothing.
 MARK = bytes(range(0x80, 0xA0)) + bytes(range(0x01, 0x08)) + b" "
+#: Ends every window: zstandard looks for no match in the last eight bytes.
+TAIL = bytes(range(0xF5, 0xFD))
 
 
 def windows(raw: bytes, n: int = WINDOW) -> list[bytes]:
-    """Windows of n folded words, spaces around; none longer than MAX_WINDOW bytes."""
+    """The distinct windows of n folded words, spaces around; none longer than MAX_WINDOW bytes."""
     words = _folded(raw).tobytes().split()
+    if n > 1:
+        words = [b" ".join(words[i : i + n]) for i in range(0, len(words), n)]
     out = []
-    for i in range(0, len(words), n):
-        w = b" ".join(words[i : i + n])
-        out += [MARK + w + b" "] if len(w) <= MAX_WINDOW else [MARK + w[k : k + MAX_WINDOW] + b" " for k in range(0, len(w), MAX_WINDOW)]
+    for w in dict.fromkeys(words):
+        out += [b" " + w + b" "] if len(w) <= MAX_WINDOW else [b" " + w[k : k + MAX_WINDOW] + b" " for k in range(0, len(w), MAX_WINDOW)]
     return out
 
 
@@ -64,55 +72,48 @@ def _folded(raw: bytes) -> np.ndarray:
     return _FOLD[np.frombuffer(b" " + raw + b" ", np.uint8)]
 
 
-def _grams(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n-grams of GRAMS lengths with no space inside (one may be at either end): keys, starts, lengths."""
-    keys, at, size = [], [], []
-    for n in GRAMS:
-        if len(a) < n:
-            continue
-        w = np.lib.stride_tricks.sliding_window_view(a, n)
-        i = np.flatnonzero(~(w[:, 1:-1] == 32).any(axis=1) & (w[:, 0] != w[:, -1]) | (w != 32).all(axis=1))
-        x = np.full(len(i), n, np.uint64)
-        for k in range(n):
-            x = (x << np.uint64(8)) | w[i, k]
-        keys.append(x)
-        at.append(i)
-        size.append(np.full(len(i), n))
-    z = np.zeros(0, np.int64)
-    return (np.concatenate(keys), np.concatenate(at), np.concatenate(size)) if keys else (z.astype(np.uint64), z, z)
-
-
-def _ratios(k: np.ndarray, a: int, m: np.ndarray, b: int) -> np.ndarray:
-    """Log likelihood ratios of k of a texts against m of b; 0 where the first share isn't larger."""
-    p = (k + m) / (a + b)
-
-    def h(x: np.ndarray, n: int) -> np.ndarray:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.nan_to_num(x * np.log(x / (n * p))) + np.nan_to_num((n - x) * np.log((n - x) / (n * (1 - p))))
-
-    return np.where(k * b > m * a, 2 * (h(k, a) + h(m, b)), 0.0)
-
-
 def _copies(sets: list[np.ndarray]) -> np.ndarray:
-    """Texts whose 32 least shingle hashes are mostly those of one earlier text (near copies)."""
+    """Texts most of whose shingles are those of one earlier text (near copies)."""
     seen: dict[int, list[int]] = {}
     out = np.zeros(len(sets), bool)
     for i, g in enumerate(sets):
-        least = g[:32].tolist()
-        met = Counter(k for x in least for k in seen.get(x, ()))
-        out[i] = len(least) > 3 and 2 * max(met.values(), default=0) > len(least)
+        own = g.tolist()
+        met = Counter(k for x in own for k in seen.get(x, ()))
+        out[i] = len(own) > 3 and 2 * max(met.values(), default=0) > len(own)
         if not out[i]:
-            for x in least:
+            for x in own:
                 seen.setdefault(x, []).append(i)
     return out
 
 
-def _train(samples: list[bytes], size: int) -> bytes:
-    """Content that zstandard's trainer picks; the samples themselves where they are too few."""
-    try:
-        return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
-    except (zstandard.ZstdError, ValueError, MemoryError):
-        return b"".join(samples)[-size:]
+def _train(samples: list[bytes], size: int = SIZE) -> bytes:
+    """What zstandard's trainer picks of the samples; where all fit in, the distinct ones, frequent ones last."""
+    count = Counter(samples)
+    if sum(map(len, count)) <= size:
+        return b"".join(x for x, _ in reversed(count.most_common()))
+    return zstandard.train_dictionary(size, [samples[i] for i in np.random.default_rng(1).permutation(len(samples))], k=32, d=6, level=3).as_bytes()
+
+
+def _distances(ordinary: bytes, toxic: bytes):
+    """A function from a text's bytes to its windows and their distances (0 to BINS - 1)."""
+    make = lambda d: zstandard.ZstdCompressor(compression_params=_parameters(), dict_data=zstandard.ZstdCompressionDict(d + MARK, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress
+    by_ordinary, by_toxic = make(ordinary), make(toxic)
+    known: dict[bytes, int] = {}
+    half = BINS // 2
+
+    def find(own: list[bytes]) -> np.ndarray:
+        out = []
+        for w in own:
+            d = known.get(w)
+            if d is None:
+                if len(known) >= REMEMBER:
+                    known.clear()
+                x = MARK + w + TAIL
+                d = known[w] = half + max(-half, min(half, round(half * (len(by_ordinary(x)) - len(by_toxic(x))) / max(1, len(w) - 3))))
+            out.append(d)
+        return np.array(out, np.int64)
+
+    return find
 
 
 @dataclass
@@ -126,15 +127,9 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def extractor(self):
-        """A function from a text's bytes to its histogram of differences."""
-        make = lambda d: zstandard.ZstdCompressor(compression_params=_parameters(), dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress
-        by_ordinary, by_toxic = make(self.ordinary), make(self.toxic)
-
-        def find(raw: bytes) -> np.ndarray:
-            d = [len(by_ordinary(x)) - len(by_toxic(x)) for x in windows(raw)]
-            return np.bincount(np.clip(np.array(d, np.int64), LOW, HIGH) - LOW, minlength=HIGH - LOW + 1)
-
-        return find
+        """A function from a text's bytes to its histogram of distances."""
+        find = _distances(self.ordinary, self.toxic)
+        return lambda raw: np.bincount(find(windows(raw)), minlength=BINS)
 
     def scorer(self):
         if not len(self.weights):
@@ -145,7 +140,7 @@ class Model:
 
 def _parameters():
     """Matches of 5 bytes and more only: shorter ones are chance, and drown what the words tell."""
-    return zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTLAZY2, min_match=5, window_log=18, hash_log=16, chain_log=17, search_log=5, target_length=16, write_content_size=False, write_dict_id=False, write_checksum=False)
+    return zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTLAZY2, min_match=5, window_log=18, hash_log=17, chain_log=18, search_log=7, target_length=64, write_content_size=False, write_dict_id=False, write_checksum=False)
 
 
 def features(histogram: np.ndarray, ratios: np.ndarray) -> np.ndarray:
@@ -156,84 +151,62 @@ def features(histogram: np.ndarray, ratios: np.ndarray) -> np.ndarray:
 
 
 def window_ratios(histograms: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Log ratio of each difference's share in windows of toxic and of ordinary texts; texts weigh by their root length."""
+    """Log ratio of each distance's share in windows of toxic and of ordinary texts; texts weigh by their root length."""
     n = np.maximum(1, histograms.sum(axis=1, keepdims=True))
     share = [(h / np.sqrt(m)).sum(axis=0) for h, m in ((histograms[y == v], n[y == v]) for v in (0, 1))]
     low, high = ((x + 0.5) / (x + 0.5).sum() for x in share)
     return np.log(high / low)
 
 
-def _dictionaries(toxic: list[bytes], ordinary: list[bytes], sets: tuple[list[np.ndarray], list[np.ndarray]]) -> tuple[bytes, bytes]:
-    """Contents (ordinary, toxic), of equal length."""
-    (tu, tc), (ou, oc) = (np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for x in sets)
-    m = np.zeros(len(tu), np.int64)
-    if len(ou):
-        at = np.minimum(np.searchsorted(ou, tu), len(ou) - 1)
-        m = np.where(ou[at] == tu, oc[at], 0)
-    strong = tu[(tc >= 3) & (_ratios(tc, len(sets[0]), m, len(sets[1])) > 2 * math.log(max(2, len(tu))) + MARGIN)]
-    samples = []
-    for t in toxic:
-        a = _folded(t)
-        keys, at, size = _grams(a)
-        hit = np.isin(keys, strong)
-        cover = np.zeros(len(a) + 1, np.int64)
-        np.add.at(cover, at[hit], 1)
-        np.add.at(cover, at[hit] + size[hit], -1)
-        on = np.cumsum(cover)[:-1] > 0
-        space = np.flatnonzero(a == 32)
-        for i, j in zip(space[:-1].tolist(), space[1:].tolist()):
-            if j > i + 1 and on[i + 1 : j].any():
-                samples.append(a[i : j + 1].tobytes())
-    base = _train([w[len(MARK) :] for t in ordinary for w in windows(t, 2 * WINDOW)][:40_000], BASE_BYTES)
-    # zstandard indexes every third place of a dictionary: each word must stand at all three
-    words, size = [], 0
-    for x, _ in Counter(x for x in samples if len(x) <= 64).most_common():
-        size += 3 * len(x) + 6
-        if size > CONTRAST_BYTES:
-            break
-        words.append(x)
-    tail = bytearray(_train(samples, CONTRAST_BYTES // 2) if samples else b"")
-    for x in reversed(words):  # what is frequent comes last, where later entries don't displace it
-        for r in range(3):
-            tail += b" " * ((r - len(base) - len(tail)) % 3) + x
-    tail = bytes(tail)
-    blank = bytes(0xF5 + (7 * i + i // 11) % 11 for i in range(len(tail)))  # bytes that no UTF-8 text has
-    return base + blank + MARK, base + tail + MARK
+def _nearer_to_toxic(toxic: np.ndarray, ordinary: np.ndarray) -> int:
+    """The least distance from which windows are LIFT times as frequent in toxic texts as in ordinary ones."""
+    for at in range(BINS // 4, BINS):
+        p, q = (toxic >= at).mean() if len(toxic) else 0.0, (ordinary >= at).mean() if len(ordinary) else 0.0
+        if p > LIFT * q:
+            return at
+    return BINS - 1
 
 
 def fit(rows: list[tuple[str, int]], share: float) -> Model:
     """Learn from (text, label) rows; ``share`` of all labelled rows are toxic.
 
-    The logistic weights come from FOLDS parts, each seen by dictionaries of the other parts.
+    Texts are in FOLDS parts; each part is judged by dictionaries trained on the others.
     """
     texts, y = [(t or "").encode() for t, _ in rows], np.array([v for _, v in rows])
-    if min((y == 0).sum(), (y == 1).sum()) < 10:
+    if not (y == 0).any() or not (y == 1).any():
         return Model(share)
-    sets = [np.unique(_grams(_folded(t))[0]) for t in texts]
     shingles, before = shingle_sets(*tk.buffers(pa.array(texts, pa.binary())), 3)
-    shingles = [shingles[a:b] for a, b in zip(before[:-1], before[1:])]
     copy = np.zeros(len(y), bool)
     for v in (0, 1):
         i = np.flatnonzero(y == v)
-        copy[i] = _copies([shingles[k] for k in i])
-    part = np.arange(len(y)) % FOLDS
-
-    def built(own: np.ndarray) -> Model:
-        t, o = np.flatnonzero(own & (y == 1) & ~copy), np.flatnonzero(own & (y == 0) & ~copy)
-        return Model(share, *_dictionaries([texts[k] for k in t], [texts[k] for k in o], ([sets[k] for k in t], [sets[k] for k in o])))
-
-    x = np.zeros((len(y), HIGH - LOW + 1))
-    for f in range(FOLDS):
-        find = built(part != f).extractor()
-        for k in np.flatnonzero((part == f) & ~copy):
-            x[k] = find(texts[k])
-    x, v = x[~copy], y[~copy].astype(float)
-    ratios = window_ratios(x, v)
-    x = np.array([features(h, ratios) for h in x])
-    weight = np.where(v == 1, share / max(1, (v == 1).sum()), (1 - share) / max(1, (v == 0).sum())) * len(v)
-    model = built(np.ones(len(y), bool))
-    model.ratios, model.weights = ratios, logistic(x, v, weight)
-    return model
+        copy[i] = _copies([shingles[before[k] : before[k + 1]] for k in i])
+    texts, y = [t for t, c in zip(texts, copy) if not c], y[~copy]
+    folds = max(1, min(FOLDS, (y == 0).sum(), (y == 1).sum()))
+    part = np.zeros(len(y), np.int64)
+    for v in (0, 1):
+        part[y == v] = np.arange((y == v).sum()) % folds
+    own = [windows(t) for t in texts]
+    picked = list(own)  # the windows that a text gives to its class's dictionary
+
+    def trained(v: int, out_of: int | None) -> bytes:
+        return _train([w for k in np.flatnonzero((y == v) & ((part != out_of) | (folds == 1))) for w in picked[k]])
+
+    ordinary = [trained(0, f) for f in range(folds)]
+    for r in range(ROUNDS):
+        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(y)
+        for f in range(folds):
+            find = _distances(ordinary[f], trained(1, f))
+            for k in np.flatnonzero(part == f):
+                found[k] = find(own[k])
+        if r < ROUNDS - 1:
+            at = _nearer_to_toxic(*(np.concatenate([found[k] for k in np.flatnonzero(y == v)]) for v in (1, 0)))
+            for k in np.flatnonzero(y == 1):
+                picked[k] = [w for w, d in zip(own[k], found[k].tolist()) if d >= at]
+    histograms, v = np.array([np.bincount(d, minlength=BINS) for d in found]), y.astype(float)
+    ratios = window_ratios(histograms, v)
+    x = np.array([features(h, ratios) for h in histograms])
+    weight = np.where(v == 1, share / (v == 1).sum(), (1 - share) / (v == 0).sum()) * len(v)
+    return Model(share, trained(0, None), trained(1, None), ratios, logistic(x, v, weight))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02) -> np.ndarray:

@@ -300,6 +300,27 @@ def test_toxicity_learns_what_toxic_texts_hold():
     assert 0 <= score(b"") < 0.5 and 0 <= score(("é" * 5000).encode()) <= 1
 
 
+def test_toxicity_dictionaries_come_from_their_own_class():
+    r = random.Random(9)
+    rows = [(synthetic(r, r.randint(40, 300), y), y) for y in (0, 1) for _ in range(80)]
+    model = toxicity.fit(rows, 0.2)
+    assert b"vilepox" in model.toxic and b"vilepox" not in model.ordinary
+    assert toxicity.MARK not in model.toxic + model.ordinary
+    same = next((i for i, (a, b) in enumerate(zip(model.toxic, model.ordinary)) if a != b), 0)
+    assert same < 64
+
+
+def test_toxicity_of_one_row_a_class():
+    model = toxicity.fit([("you vile grubblefoul snarkwretch of a vilepox", 1), ("the tion of thering and the ontion in the ering", 0)], 0.5)
+    score = model.scorer()
+    assert score(b"such a grubblefoul vilepox snarkwretch") > score(b"the ontion of thering and the tion") and len(model.weights)
+
+
+def test_short_words_at_the_end_of_a_window_are_found():
+    find = toxicity._distances(b" aaa bbb ", b" scum idiot ")
+    assert find([b" scum ", b" idiot ", b" unheard "]).tolist() == [20, 20, 10]
+
+
 def test_toxicity_without_labels():
     assert toxicity.fit([], 0.0).scorer()(b"x") == 0.0
 

@@ -232,6 +232,15 @@ def test_toxicity_odd(spark, odd, empty):
     assert toxicity.keep_ordinary(odd, toxicity.learn(odd, labels.limit(0))).count() == len(ODD)
 
 
+def test_toxicity_held_out_quality(spark):
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in queries.op6_toxicity(spark, d).filter("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.5 * (n[1, 1] + n[1, 0]) and n.get((0, 1), 0) <= 0.02 * n[0, 0]
+
+
 # ---- 7
 
 def test_chat_trees(spark):
