@@ -5,9 +5,11 @@ and non-ASCII bytes as spaces, runs of spaces aside. Each hashes to one of ``BUC
 embeddings; a text is their average, and a linear softmax over it gives the languages. Both
 layers are trained by stochastic gradient descent in numpy on excerpts of several lengths of a
 bounded sample. As the average and the linear layer commute, prediction needs one table of
-bucket x language logits. A temperature fitted on held-back rows calibrates the scores, and the
-rejection threshold is the score that all but ``REJECT`` of the correctly named held-back texts
-reach, 0.4 at most, so that texts of two languages stay.
+bucket x language logits. A temperature fitted on whole held-back texts calibrates the scores.
+
+A text of a language that was not learnt, or of none, gets small logits whichever is the largest:
+its energy (the log of the sum of the exponentials of all logits) is low. Texts whose energy is
+below that of all but ``REJECT`` of the correctly named held-back texts are rejected.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; a text with
 letters too short for any n-gram gets the most frequent language; with nothing learnt every text
@@ -30,7 +32,7 @@ from moiety.llm.cluster import small_batches
 from moiety.llm.sample import PER_CLASS, draw
 
 BUCKETS, DIM, NGRAMS = 1 << 16, 16, (2, 3, 4)
-EPOCHS, BATCH, RATE, REJECT = 3, 64, 400.0, 0.001
+EPOCHS, BATCH, RATE, REJECT = 3, 64, 400.0, 0.003
 #: Gradient steps at least, so that a small sample is learnt too.
 MIN_STEPS = 400
 UND = "und"
@@ -69,7 +71,7 @@ class Model:
     table: np.ndarray  # BUCKETS x languages
     bias: np.ndarray
     temperature: float = 1.0
-    reject_below: float = 0.0
+    reject_below: float = -np.inf  # an energy
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n, k = len(offsets) - 1, len(self.languages)
@@ -81,17 +83,27 @@ class Model:
                 out[i:j, c] = np.bincount(row, weights=self.table[h, c], minlength=j - i) / count
         return out + self.bias
 
-    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best language (index) and its calibrated probability; -1 for texts without a letter."""
+    def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best language (index, -1 for texts without a letter), its calibrated probability, and the energy."""
+        if not self.languages:
+            n = len(offsets) - 1
+            return np.full(n, -1), np.zeros(n), np.full(n, -np.inf)
         z = self.logits(data, offsets) * self.temperature
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        best, score = p.argmax(axis=1), p.max(axis=1)
+        top = z.max(axis=1, keepdims=True)
+        p = np.exp(z - top)
+        total = p.sum(axis=1)
+        best, score, energy = z.argmax(axis=1), 1 / total, top[:, 0] + np.log(total)
         none = ~has_letter(data, offsets)
-        best[none], score[none] = -1, 0.0
+        best[none], score[none], energy[none] = -1, 0.0, -np.inf
+        return best, score, energy
+
+    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        best, score, _ = self.judge(data, offsets)
         return best, score
 
+    def rejects(self, best: np.ndarray, energy: np.ndarray) -> np.ndarray:
+        return (best < 0) | (energy < self.reject_below)
+
 
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[0x41:0x5B] = _ASCII_LETTER[0x61:0x7B] = True
@@ -166,22 +178,23 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
                 e[:, d] -= rate * np.bincount(hb, weights=pull[own, d], minlength=BUCKETS)
             done += 1
     model = Model(names, (e @ w).astype(np.float32), b)
-    texts, y = excerpts(held if len(held) else used, 4)
-    data, offsets = tk.buffers(pa.array(texts, pa.string()))
+    whole = [rows[i] for i in (held if len(held) else used).tolist()]
+    if not whole:
+        return model
+    data, offsets = tk.buffers(pa.array([t for t, _ in whole], pa.string()))
+    y = np.array([code[v] for _, v in whole])
     z = model.logits(data, offsets)
     best, least = 1.0, np.inf
     for temperature in np.exp(np.linspace(-2, 3, 41)):
         q = z * temperature
         q -= q.max(axis=1, keepdims=True)
-        loss = float((np.log(np.exp(q).sum(axis=1)) - q[np.arange(len(y)), y]).mean()) if len(y) else 0.0
+        loss = float((np.log(np.exp(q).sum(axis=1)) - q[np.arange(len(y)), y]).mean())
         if loss < least:
             best, least = float(temperature), loss
     model.temperature = best
-    whole = [rows[i] for i in (held if len(held) else used).tolist()]
-    if whole:
-        got, score = model.predict(*tk.buffers(pa.array([t for t, _ in whole], pa.string())))
-        right = score[got == np.array([code[v] for _, v in whole])]
-        model.reject_below = float(min(0.4, np.quantile(right, REJECT))) if len(right) else 0.0
+    got, _, energy = model.judge(data, offsets)
+    if (got == y).any():
+        model.reject_below = float(np.quantile(energy[got == y], REJECT))
     return model
 
 
@@ -202,18 +215,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         names = np.array([*m.languages, UND], dtype=object)
         for batch in batches:
-            if m.languages:
-                best, score = m.predict(*tk.buffers(batch.column(1)))
-            else:
-                best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-            rejected = (best < 0) | (score < m.reject_below)
+            best, score, energy = m.judge(*tk.buffers(batch.column(1)))
+            rejected = m.rejects(best, energy)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_named(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without those rejected: no letter, or a score under the calibrated threshold."""
+    """``docs`` without those rejected: no letter, or an energy under the calibrated threshold."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -221,7 +231,7 @@ def keep_named(docs: DataFrame, model: Model) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            best, score = m.predict(*tk.buffers(batch.column(at))) if m.languages else (np.full(batch.num_rows, -1), np.zeros(batch.num_rows))
-            yield batch.filter(pa.array((best >= 0) & (score >= m.reject_below)))
+            best, _, energy = m.judge(*tk.buffers(batch.column(at)))
+            yield batch.filter(pa.array(~m.rejects(best, energy)))
 
     return docs.mapInArrow(scan, docs.schema)

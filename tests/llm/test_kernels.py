@@ -337,5 +337,39 @@ def test_language_model():
     assert best.tolist()[:2] == [-1, -1] and best[4] == -1 and best[2] >= 0 and best[3] >= 0 and (score[[0, 1, 4]] == 0).all()
 
 
+def slow_buckets(text):
+    """Byte n-grams of one folded text, hashed in Python integers."""
+    raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+    out = []
+    for n in langid.NGRAMS:
+        for i in range(len(raw) - n + 1):
+            if raw[i : i + 2] == b"  ":
+                continue
+            h = int.from_bytes(raw[i : i + n], "big") + n * 0x9E3779B1 & 0xFFFFFFFF
+            h = h * 0x85EBCA6B & 0xFFFFFFFF
+            h ^= h >> 15
+            out.append((h * 0xC2B2AE35 & 0xFFFFFFFF) >> 16)
+    return sorted(out)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aB zÉ1.漢", max_size=12), min_size=1, max_size=4))
+def test_buckets_equal_a_slow_count(xs):
+    h, row = langid.buckets(*tk.buffers(pa.array(xs, pa.string())))
+    for i, x in enumerate(xs):
+        assert sorted(h[row == i].tolist()) == slow_buckets(x)
+
+
+def test_language_rejection_of_unseen_languages_and_noise():
+    r = random.Random(6)
+    parts = {"aa": ["tion", "the", "ing"], "bb": ["ung", "sch", "ü"], "cc": ["mente", "ñ", "que"], "dd": ["ov", "ski", "czy"]}
+    make = lambda y, n: " ".join("".join(r.choices(parts[y], k=3)) for _ in range(n))
+    for out in parts:
+        model = langid.fit([(make(y, 60), y) for y in parts if y != out for _ in range(60)])
+        lost = [model.rejects(*np.array(model.judge(*tk.buffers(pa.array([make(y, 60)]))), object)[[0, 2]])[0] for y in parts if y != out for _ in range(40)]
+        kept = [model.rejects(*np.array(model.judge(*tk.buffers(pa.array([t]))), object)[[0, 2]])[0] for t in [make(out, 60) for _ in range(40)] + ["".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=300)) for _ in range(40)]]
+        assert np.mean(lost) <= 0.1 and np.mean(kept) >= 0.8
+
+
 def test_language_model_without_rows():
     assert langid.fit([]).languages == []

@@ -100,6 +100,28 @@ def test_language_odd(odd, empty):
     assert {r["lang_pred"] for r in langid.identify(odd, langid.learn(empty)).collect()} == {"und"}
 
 
+def test_language_rejection_and_calibration(spark):
+    """Each language left out in turn: its texts are rejected, the others' are not; scores mean what they say."""
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang").cache()
+    for out in ("de", "en", "es", "fr", None):
+        known = docs if out is None else docs.filter(F.col("lang") != out)
+        model = langid.learn(known, keep=F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+        rows = langid.identify(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 3 == 1), model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+        own = [r for r in rows if r["lang"] != out]
+        assert sum(r["rejected"] for r in own) <= 0.02 * len(own)
+        if out is not None:
+            other = [r for r in rows if r["lang"] == out]
+            assert sum(r["rejected"] for r in other) >= 0.8 * len(other)
+        bins = {}
+        for r in own:
+            bins.setdefault(min(9, int(10 * r["score"])), []).append((r["score"], r["lang_pred"] == r["lang"]))
+        error = sum(abs(sum(s for s, _ in v) - sum(c for _, c in v)) for v in bins.values()) / len(own)
+        assert error <= 0.03
+
+
 # ---- 3
 
 def check_packing(docs, got, capacity=2048, least_fill=0.9):
