@@ -387,6 +387,33 @@ def test_top_k_over_many_ranges(spark, docs, monkeypatch):
     assert sorted(map(tuple, topk.top_k(table(spark, "embeddings"), F.col("vec_id") % 50 == 0).collect())) == want
 
 
+def test_top_k_of_repeated_queries(spark):
+    """Equal query rows are one query; a query id with another vector is a query of its own."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.5]), (2, [0.5, 1.0]), (2, [0.5, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, k=2).collect())
+    assert got == sorted([(0, 1, 1, 65536), (0, 2, 2, 32768), (0, 1, 2, 65536), (0, 2, 2, 65536)])
+
+
+def test_top_k_over_cells_and_panels(spark, monkeypatch):
+    """Clustered vectors: whole cells are passed by, and no answer is lost."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(8, 16)) * 3
+    x = np.concatenate([c + r.normal(size=(60, 16)) * 0.2 for c in centres])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    for name, value in (("RANGE", 40), ("QUERIES", 3), ("PANEL", 2), ("BLOCK", 8)):
+        monkeypatch.setattr(topk, name, value)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=4).collect())
+    m = np.floor(256 * x).astype(np.int64)
+    want = []
+    for i in range(0, len(x), 20):
+        best = sorted((-int(m[i] @ m[j]), j) for j in range(len(x)) if j != i)[:4]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
 # ---- 10
 
 def check_tokens(df, got):
