@@ -8,18 +8,20 @@
 2. Texts of equal sets are one class, stood for by its least doc_id.
 3. Bands of the signatures make buckets of classes. A class is first compared with the one pivot
    (the least of a bucket) that it meets in most buckets; found links are joined.
-4. Buckets whose members are then in different components are settled exactly: all members that
-   such buckets tie together go in blocks of bounded size to tasks, and a task compares every two
-   of different components. Pairs of blocks of one component are left out, as no link there can
-   change a component.
+4. Buckets whose members are then in different components are settled exactly, each by itself
+   (of buckets with equal members one stays): small ones share tasks, a large one's members go in
+   blocks of bounded size to tasks, and a task compares every two of different components. Pairs
+   of blocks of one component are left out, as no link there can change a component.
 5. Links of 3 and 4 are joined by union-find.
 
 At the bands used (32 of 4) a pair of similarity 0.8 shares no bucket with probability 5e-8.
 
 Defined results: texts without words (null, empty, blank) have an empty set and link with
-nothing; a text of fewer words than a shingle has one shingle, its whole sequence; rows of one
-doc_id are one node; a row without doc_id keeps component null and is kept; an empty table gives
-an empty result. Other columns stay as they are in ``filter_duplicates`` and are not read else.
+nothing; a text of fewer words than a shingle has one shingle, its whole sequence; in ``group``
+rows of one doc_id are one node, whatever their texts; ``filter_duplicates`` goes by texts, so of
+a doc_id's rows only those whose text another row stands for are left out; a row without doc_id
+keeps component null and is kept; doc_ids lie below 2^62; an empty table gives an empty result.
+Other columns stay as they are in ``filter_duplicates`` and are not read else.
 """
 
 from __future__ import annotations
@@ -198,65 +200,126 @@ def _check_blocks(words: int, percent: int):
     return task
 
 
-def group(docs: DataFrame, words: int = 5, percent: int = 80, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def _classes(docs: DataFrame, words: int, percent: int, registers: int, rows: int, by_id: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows (doc_id, n_shingles, d1, d2), the classes of equal sets (d1, d2, rep, node, component), and repeated ids.
+
+    A class's node is its least doc_id; where several classes have the same one, all but the first
+    have a node beyond all doc_ids. ``by_id``: classes that share a doc_id are linked too.
+    """
     small_batches(docs.sparkSession)
     sig = cut(signatures(docs, words, registers, rows))
     real = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = real.join(classes, ["d1", "d2"]).filter("doc_id = rep").dropDuplicates(["d1", "d2"])
-    band = reps.select(F.col("rep").alias("doc_id"), F.posexplode("bands").alias("band", "key"))
-    pivots = band.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    bucket = cut(band.join(pivots, ["band", "key"]).select("doc_id", "key", "pivot"))
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # a doc_id's rows are one node, but each class has one text: the first row of the least digest
-    pairs = bucket.filter("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("x")).select(F.col("doc_id").alias("u"), (-F.col("x.p")).alias("v"))
-    a, b = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
-    first = cut(pairs.join(a, "u").join(b, "v").select("u", "v", "text_u", "text_v").mapInArrow(_check_pairs(words, percent), "u long, v long"))
-    comp = cut(components(first))
-
-    member = bucket.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "key", F.coalesce("component", "doc_id").alias("component"))
-    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("head")).filter("lo < hi")
-    rest = cut(member.join(mixed, "key").select("doc_id", "component", "head").distinct())
-    second = None
+    twice = classes.groupBy("rep").agg(F.min(F.struct("d1", "d2")).alias("head"), F.count("*").alias("n")).filter("n > 1").select("rep", "head")
+    beyond = F.lit(2**63 - 1) - F.xxhash64("d1", "d2").bitwiseAND(F.lit(2**61 - 1))
+    classes = classes.join(twice, "rep", "left")
+    classes = cut(classes.select("d1", "d2", "rep", F.when(F.col("head").isNull() | (F.struct("d1", "d2") == F.col("head")), F.col("rep")).otherwise(beyond).alias("node")))
+    reps = real.join(classes, ["d1", "d2"]).filter("doc_id = rep").select("d1", "d2", "node", "bands").dropDuplicates(["d1", "d2"])
+    band = reps.select("node", F.posexplode("bands").alias("band", "key"))
+    pivots = band.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    bucket = cut(band.join(pivots, ["band", "key"]).select("node", "key", "pivot"))
+
+    repeated = _repeated(sig)
+    texts = _texts(docs, classes, repeated, words)
+    pairs = bucket.filter("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
+    pairs = pairs.groupBy("node").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("x")).select(F.col("node").alias("u"), (-F.col("x.p")).alias("v"))
+    a, b = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
+    links = cut(pairs.join(a, "u").join(b, "v").select("u", "v", "text_u", "text_v").mapInArrow(_check_pairs(words, percent), "u long, v long"))
+    if by_id:
+        own = real.join(classes, ["d1", "d2"]).groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("w")).filter("u <> w").select("doc_id", "u")
+        links = links.unionByName(real.join(classes, ["d1", "d2"]).join(own, "doc_id").select("u", F.col("node").alias("v")).filter("u <> v").distinct())
+    comp = cut(components(links))
+
+    member = bucket.join(comp, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
+    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").bitwiseAND(F.lit(2**40 - 1))).alias("s"), F.expr("bit_xor(xxhash64(node, 1L))").alias("x")).filter("lo < hi")
+    # buckets of equal members (near copies meet in many) are settled once
+    mixed = mixed.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", F.col("n").alias("members"))
+    rest = cut(member.join(mixed, "key").select("node", "component", "key", "members"))
     if not rest.isEmpty():
-        second = _settle(rest, texts, words, percent)
-        comp = components(first.unionByName(second))
+        comp = components(links.unionByName(_settle(rest, texts, words, percent)))
     comp = cut(comp)
-    named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("found"))
-    out = sig.join(named, ["d1", "d2"], "left")
+    return sig, classes.join(comp, "node", "left").select("d1", "d2", "rep", "node", F.coalesce("component", "node").alias("component")), repeated
+
+
+def _repeated(sig: DataFrame) -> DataFrame:
+    """doc_ids on more than one row: as a rule none."""
+    return cut(sig.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+
+
+def _digest_rows(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` with the digest of each row's set, as _d1 and _d2."""
+    at = docs.columns.index("text")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tk.buffers(batch.column(at))
+            for i, j in tk.chunks(offsets, tk.BLOCK):
+                d1, d2 = _digests(*shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words))
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(d1), pa.array(d2)], names=[*batch.schema.names, "_d1", "_d2"])
+
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    return docs.mapInArrow(scan, StructType([*docs.schema.fields, StructField("_d1", LongType()), StructField("_d2", LongType())]))
+
+
+def _texts(docs: DataFrame, classes: DataFrame, repeated: DataFrame, words: int) -> DataFrame:
+    """(node, text): one text of each class, that of its least doc_id."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = classes.select(F.col("rep").alias("doc_id"), "node", F.col("d1").alias("_d1"), F.col("d2").alias("_d2"))
+    if repeated.isEmpty():
+        return texts.join(named, "doc_id").select("node", "text")
+    single = texts.join(repeated, "doc_id", "left_anti").join(named, "doc_id").select("node", "text")
+    own = _digest_rows(texts.join(repeated, "doc_id", "left_semi"), words)
+    return single.unionByName(own.join(named, ["doc_id", "_d1", "_d2"]).select("node", "text").dropDuplicates(["node"]))
+
+
+def group(docs: DataFrame, words: int = 5, percent: int = 80, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    sig, classes, _ = _classes(docs, words, percent, registers, rows, by_id=True)
+    out = sig.join(classes.select("d1", "d2", F.col("component").alias("found")), ["d1", "d2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("found")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def _settle(rest: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Exact links between components among the members that mixed buckets tie together."""
-    tied = cut(components(rest.select(F.col("doc_id").alias("u"), F.col("head").alias("v"))))
-    m = rest.select("doc_id", "component").distinct().join(tied.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id")
-    sizes = m.groupBy("part", "component").agg(F.count("*").alias("n"))
-    small = sizes.filter(F.col("n") < BLOCK_DOCS // 2).groupBy("part").agg(F.sum("n").alias("small"))
-    sizes = sizes.join(small, "part", "left")
+    """Exact links between components within each of the buckets of ``rest`` (node, component, key, members)."""
+    few = F.col("members") <= BLOCK_DOCS // 2
+    shared = rest.filter(few).agg(F.count("*")).first()[0]
+    tasks = max(1, -(-shared // BLOCK_DOCS))
+    # small buckets: some of them to a task, whole
+    alone = rest.filter(few).select(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task"), "node", "component").distinct()
+    # large ones: blocks of one component, and blocks of small components; pairs of blocks are tasks
+    m = rest.filter(~few).select("key", "node", "component")
+    sizes = m.groupBy("key", "component").agg(F.count("*").alias("n"))
+    small = sizes.filter(F.col("n") < BLOCK_DOCS // 2).groupBy("key").agg(F.sum("n").alias("small"))
     pure = F.col("n") >= BLOCK_DOCS // 2
     n_blocks = F.when(pure, F.ceil(F.col("n") / BLOCK_DOCS)).otherwise(F.ceil(F.col("small") / BLOCK_DOCS))
-    salt = F.when(pure, F.xxhash64("doc_id")).otherwise(F.xxhash64("component"))
-    m = m.join(sizes, ["part", "component"])
-    m = m.withColumn("block", F.when(pure, F.xxhash64("part", "component", F.pmod(salt, n_blocks))).otherwise(F.xxhash64("part", F.lit("small"), F.pmod(salt, n_blocks)))).withColumn("own", F.when(pure, F.col("component")))
-    m = cut(m.select("doc_id", "component", "part", "block", "own"))
-    blocks = m.groupBy("part", "block").agg(F.first("own").alias("own"))
-    x, y = blocks.select("part", F.col("block").alias("i"), F.col("own").alias("oi")), blocks.select("part", F.col("block").alias("j"), F.col("own").alias("oj"))
-    both = x.join(y, "part").filter("i <= j AND NOT (oi IS NOT NULL AND oj IS NOT NULL AND oi = oj)")
+    m = m.join(sizes.join(small, "key", "left"), ["key", "component"])
+    block = F.when(pure, F.xxhash64("key", "component", F.pmod(F.xxhash64("node"), n_blocks))).otherwise(F.xxhash64("key", F.lit("small"), F.pmod(F.xxhash64("component"), n_blocks)))
+    m = cut(m.select("node", "component", "key", block.alias("block"), F.when(pure, F.col("component")).alias("own")))
+    blocks = m.groupBy("key", "block").agg(F.first("own").alias("own"))
+    x, y = blocks.select("key", F.col("block").alias("i"), F.col("own").alias("oi")), blocks.select("key", F.col("block").alias("j"), F.col("own").alias("oj"))
+    both = x.join(y, "key").filter("i <= j AND NOT (oi IS NOT NULL AND oj IS NOT NULL AND oi = oj)")
     # a block alone is compared within itself; where it meets others it is not compared again on its own
     met = both.filter("i < j").select(F.explode(F.array("i", "j")).alias("b")).distinct()
-    alone = both.filter("i = j").join(met, F.col("i") == F.col("b"), "left_anti")
-    tasks = both.filter("i < j").unionByName(alone).select("i", "j", F.xxhash64("i", "j").alias("task"))
-    side = tasks.select("task", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    rows = side.join(m.select("block", "doc_id", "component"), "block").join(texts, "doc_id").select("task", "doc_id", "component", "text")
+    lone = both.filter("i = j").join(met, F.col("i") == F.col("b"), "left_anti")
+    pairs = both.filter("i < j").unionByName(lone).select("i", "j", F.xxhash64("i", "j").alias("task"))
+    side = pairs.select("task", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    large = side.join(m.select("block", "node", "component"), "block").select("task", "node", "component")
+    rows = alone.unionByName(large).join(texts, "node").select("task", F.col("node").alias("doc_id"), "component", "text")
     return cut(rows.groupBy("task").applyInArrow(_check_blocks(words, percent), "u long, v long"))
 
 
 def filter_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: the one of least doc_id. All columns stay."""
-    gone = group(docs, words, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """``docs`` with one document of each group of near-equal texts: the one of least doc_id. All columns stay."""
+    sig, classes, repeated = _classes(docs, words, percent, REGISTERS, ROWS, by_id=False)
+    rows = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(classes, ["d1", "d2"])
+    gone = rows.filter("node <> component OR doc_id <> rep").select(F.col("doc_id").alias("_gone"), F.col("d1").alias("_e1"), F.col("d2").alias("_e2")).distinct()
+    own = F.col("doc_id").cast("long")
+    if repeated.isEmpty():
+        return docs.join(gone.select("_gone"), own == F.col("_gone"), "left_anti")
+    several = repeated.select(F.col("doc_id").alias("_several"))
+    single = docs.join(gone.select("_gone").unionByName(several.select(F.col("_several").alias("_gone"))).distinct(), own == F.col("_gone"), "left_anti")
+    rest = _digest_rows(docs.join(several, own == F.col("_several"), "left_semi"), words)
+    rest = rest.join(gone, (own == F.col("_gone")) & (F.col("_d1") == F.col("_e1")) & (F.col("_d2") == F.col("_e2")), "left_anti").drop("_d1", "_d2")
+    return single.unionByName(rest)

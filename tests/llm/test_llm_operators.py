@@ -362,6 +362,19 @@ def test_near_duplicates_odd(spark, odd, empty):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in neardup.group(nameless).collect()) == [(0, 0, True), (3, 3, True)]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one doc_id are one node in groups; no text is lost when duplicates are left out."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    near_c = c.replace("c39", "other")
+    rows = [(3, a), (5, a), (5, b), (9, b), (5, c), (11, near_c), (5, b), (7, ""), (7, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_d1", F.lit(0)).drop("_d1")
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.group(df).collect() if r["n_shingles"]}
+    assert got == {(k, 3) for k in (3, 5, 7, 9, 11)} and neardup.group(df).count() == len(rows)
+    assert {k: v for k, v in slow_groups(rows, 5, 80).items()} == {k: 3 for k in (3, 5, 7, 9, 11)}
+    kept = sorted((r["doc_id"], r["text"]) for r in neardup.filter_duplicates(df).collect())
+    assert kept == sorted([(3, a), (5, b), (5, b), (5, c), (7, "")])
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "u long, v long").repartition(7)
     got = {r["node"]: r["component"] for r in components(edges).collect()}
