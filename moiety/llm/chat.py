@@ -50,19 +50,25 @@ def unescape_role(role: Column) -> Column:
 
 
 def paths(nodes: DataFrame, rounds: int = 40) -> DataFrame:
-    """``nodes`` (tree, node, parent) to (tree, leaf, node, depth): depth 0 is the leaf."""
+    """``nodes`` (tree, node, parent) to (tree, leaf, node, depth): depth 0 is the leaf.
+
+    A chain still going on after as many doublings as the largest tree has nodes (or ``rounds``) holds a cycle.
+    """
     known = nodes.select("tree", F.col("node").alias("parent")).distinct()
-    jump = cut(nodes.select("tree", "node", "parent").distinct().join(known, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("up")))
-    leaves = nodes.select("tree", "node").distinct().join(jump.select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    up = nodes.select("tree", "node", "parent").distinct().join(known, ["tree", "parent"])
+    jumps = [cut(up.select("tree", "node", F.col("parent").alias("up")))]
+    most = known.groupBy("tree").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    # one row a node in each round, as long as it has one parent: nothing multiplies here
+    while not jumps[-1].isEmpty():
+        if len(jumps) > rounds or 1 << (len(jumps) - 1) > most:
+            raise ValueError("a reply chain never ends: the parents hold a cycle")
+        jump = jumps[-1]
+        jumps.append(cut(jump.join(jump.select("tree", F.col("node").alias("up"), F.col("up").alias("up2")), ["tree", "up"]).select("tree", "node", F.col("up2").alias("up")).distinct()))
+    leaves = nodes.select("tree", "node").distinct().join(jumps[0].select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti")
     member = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("depth"))
-    for k in range(rounds):
-        if jump.isEmpty():
-            break
+    for k, jump in enumerate(jumps[:-1]):
         further = member.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("depth") + (1 << k)).alias("depth"))
         member = cut(member.unionByName(further))
-        jump = cut(jump.join(jump.select("tree", F.col("node").alias("up"), F.col("up").alias("up2")), ["tree", "up"]).select("tree", "node", F.col("up2").alias("up")))
-    else:
-        raise ValueError("a reply chain never ends: the parents hold a cycle")
     return member
 
 

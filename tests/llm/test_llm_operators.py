@@ -301,6 +301,14 @@ def test_chat_cycle(spark):
         chat.paths(nodes, rounds=5)
 
 
+def test_chat_cycle_below_a_leaf_with_the_default_rounds(spark):
+    """A leaf whose chain enters a cycle, and a tree that is nothing but a cycle."""
+    for extra in ([(1, 3, 1)], []):
+        nodes = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (2, 1, None), (2, 2, 1), *extra], "tree long, node long, parent long")
+        with pytest.raises(ValueError):
+            chat.paths(nodes)
+
+
 def test_long_chain(spark):
     n = 300
     nodes = spark.createDataFrame([(1, k, k - 1, "user", str(k), 0.0) for k in range(n)], "tree long, node long, parent long, role string, text string, score double")
