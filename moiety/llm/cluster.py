@@ -35,7 +35,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder, removed when the driver ends."""
+    """A new folder's path in the shared folder, removed when the driver ends (``drop`` removes it sooner)."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     local = path.removeprefix("file://").removeprefix("file:")
     if local.startswith("/"):
@@ -45,6 +45,24 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system's scheme: one without is on the cluster's default file system, not a local disk."""
+    fs, p = _hadoop(spark, path)
+    out = fs.makeQualified(p).toString()
+    return "file://" + out.removeprefix("file:") if out.startswith("file:/") and not out.startswith("file://") else out
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a folder that is no longer read, on any file system."""
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
     """Bound what one Arrow batch holds: by rows, and by bytes for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

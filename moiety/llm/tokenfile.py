@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from moiety.llm import textkernel as tk
 from moiety.llm.bpe import Encoder, default_path
-from moiety.llm.cluster import cut, folder, small_batches
+from moiety.llm.cluster import cut, folder, qualified, small_batches
 
 BLOCK, SEGMENT, PERCENTILE = 128, 2048, 0.9
+#: Bytes of text that a file holds, about.
+FILE_BYTES = 64 << 20
 MAGIC = b"PFORTOK1"
 _U = np.uint64
 
@@ -65,8 +67,10 @@ def pack_blocks(ids: np.ndarray) -> bytes:
     return b"".join((head, low.astype("<u4").tobytes(), width.astype(np.uint8).tobytes(), np.bincount(er, minlength=nb).astype("<u2").tobytes(), start[:-1].astype("<u4").tobytes(), words.astype("<u8").tobytes(), ep.astype(np.uint8).tobytes(), high[er, ep].astype("<u4").tobytes()))
 
 
-def unpack_blocks(raw: bytes) -> np.ndarray:
+def unpack_blocks(raw: bytes, a: int = 0, b: int | None = None) -> np.ndarray:
+    """Ids a to b (all) of a segment; only the blocks that hold them are decoded."""
     n, nb, nw, ne = struct.unpack_from("<IIII", raw)
+    b = n if b is None else min(b, n)
     at = 16
 
     def take(kind: str, count: int) -> np.ndarray:
@@ -77,7 +81,10 @@ def unpack_blocks(raw: bytes) -> np.ndarray:
 
     low, width, exceptions, start = take("<u4", nb), take("u1", nb), take("<u2", nb), take("<u4", nb)
     words, ep, eh = take("<u8", nw), take("u1", ne), take("<u4", ne)
-    v = np.zeros((nb, BLOCK), np.uint64)
+    first, last = a // BLOCK, max(a // BLOCK, -(-b // BLOCK))
+    skip, until = int(exceptions[:first].sum()), int(exceptions[:last].sum())
+    low, width, exceptions, start, ep, eh = low[first:last], width[first:last], exceptions[first:last], start[first:last], ep[skip:until], eh[skip:until]
+    v = np.zeros((last - first, BLOCK), np.uint64)
     for w in np.unique(width):
         if not w:
             continue
@@ -91,9 +98,9 @@ def unpack_blocks(raw: bytes) -> np.ndarray:
             if shift + w > 64:
                 own[:, j] |= x[:, k + 1] << _U(64 - shift)
         v[rows] = own & _U((1 << w) - 1)
-    er = np.repeat(np.arange(nb), exceptions)
+    er = np.repeat(np.arange(last - first), exceptions)
     v[er, ep] |= eh.astype(np.uint64) << width[er].astype(np.uint64)
-    return (v + low[:, None]).reshape(-1)[:n].astype(np.uint32)
+    return (v + low[:, None]).reshape(-1)[a - first * BLOCK : b - first * BLOCK].astype(np.uint32)
 
 
 class Writer:
@@ -150,18 +157,17 @@ class Reader:
         foot = self.file.read_at(size - 32 - at, at)
         self.docs, self.counts = np.frombuffer(foot, "<i8", nd), np.frombuffer(foot, "<i8", nd, 8 * nd)
         self.starts = np.append(np.frombuffer(foot, "<i8", ns, 16 * nd), at)
+        self.before = np.concatenate(([0], np.cumsum(self.counts)))
 
-    def segment(self, k: int) -> np.ndarray:
-        return unpack_blocks(self.file.read_at(int(self.starts[k + 1] - self.starts[k]), int(self.starts[k])))
+    def segment(self, k: int, a: int = 0, b: int | None = None) -> np.ndarray:
+        return unpack_blocks(self.file.read_at(int(self.starts[k + 1] - self.starts[k]), int(self.starts[k])), a, b)
 
     def ids(self, k: int) -> np.ndarray:
         """Ids of the document at place k."""
-        a = int(self.counts[:k].sum())
-        b, size = a + int(self.counts[k]), SEGMENT * BLOCK
+        a, b, size = int(self.before[k]), int(self.before[k + 1]), SEGMENT * BLOCK
         if a == b:
             return np.zeros(0, np.uint32)
-        parts = np.concatenate([self.segment(s) for s in range(a // size, (b - 1) // size + 1)])
-        return parts[a - a // size * size :][: b - a]
+        return np.concatenate([self.segment(s, max(0, a - s * size), min(size, b - s * size)) for s in range(a // size, (b - 1) // size + 1)])
 
     def documents(self) -> Iterator[tuple[int, int, int]]:
         """doc_id, number of ids and crc32 of each document, in order, a segment in memory at a time."""
@@ -176,11 +182,12 @@ class Reader:
             yield name, n, crc
 
 
-def write(docs: DataFrame, uri: str, path: str | None = None, end_id: int = 0) -> DataFrame:
+def write(docs: DataFrame, uri: str, path: str | None = None, end_id: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode and write all texts in ascending doc_id order; one row a file: file, n_docs, n_tokens.
 
     A null text is empty. Rows without doc_id come first, as -2^63. An empty table writes no file
-    with documents. Repeated ids keep all their rows. Other columns are not read.
+    with documents. Repeated ids keep all their rows, in the order of a hash of their texts, and may
+    lie in several files. ``uri`` names its file system. Other columns are not read.
     """
     small_batches(docs.sparkSession)
     path = path or default_path("byte_bpe_50k.json")
@@ -199,7 +206,10 @@ def write(docs: DataFrame, uri: str, path: str | None = None, end_id: int = 0) -
         n, tokens = writer.close()
         yield pa.RecordBatch.from_pydict({"file": [part], "n_docs": [n], "n_tokens": [tokens]}, schema=pa.schema([("file", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
+    size = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.lit(0))).first()[0]
+    tie = F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie")
+    ordered = rows.select("doc_id", "text", tie).repartitionByRange(max(1, -(-size // file_bytes)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     return cut(ordered.mapInArrow(scan, "file int, n_docs long, n_tokens long"))
 
 
@@ -218,6 +228,9 @@ def read(spark: SparkSession, uri: str, manifest: DataFrame) -> DataFrame:
                 for name, n, crc in Reader(f"{uri}/part-{part:06d}.pfor").documents():
                     rows.append((None if name == -(2**63) else name, start, n, crc))
                     start += n
+                    if len(rows) == 5000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
+                        rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
 
@@ -225,7 +238,7 @@ def read(spark: SparkSession, uri: str, manifest: DataFrame) -> DataFrame:
     return table.mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def roundtrip(docs: DataFrame, path: str | None = None, end_id: int = 0) -> DataFrame:
+def roundtrip(docs: DataFrame, path: str | None = None, end_id: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``docs`` to a folder of the shared one, and read the files back."""
-    uri = folder(docs.sparkSession, "token-files")
-    return read(docs.sparkSession, uri if "://" in uri else f"file://{uri}", write(docs, uri if "://" in uri else f"file://{uri}", path, end_id))
+    uri = qualified(docs.sparkSession, folder(docs.sparkSession, "token-files"))
+    return read(docs.sparkSession, uri, write(docs, uri, path, end_id, file_bytes))

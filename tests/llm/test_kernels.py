@@ -166,6 +166,13 @@ def test_pfor_round_trip(ids):
     assert tokenfile.unpack_blocks(tokenfile.pack_blocks(x)).tolist() == ids
 
 
+def test_part_of_a_segment_is_decoded():
+    ids = np.random.default_rng(1).integers(0, 50_000, 1000).astype(np.uint32)
+    raw = tokenfile.pack_blocks(ids)
+    for a, b in ((0, 1000), (5, 5), (127, 129), (300, 301), (999, 1000), (128, 256)):
+        assert (tokenfile.unpack_blocks(raw, a, b) == ids[a:b]).all()
+
+
 def test_token_file(tmp_path, monkeypatch):
     monkeypatch.setattr(tokenfile, "SEGMENT", 2)
     rng = np.random.default_rng(1)

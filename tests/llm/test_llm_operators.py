@@ -461,6 +461,27 @@ def test_token_files_odd(odd, empty):
     assert tokenfile.roundtrip(empty).count() == 0
 
 
+def test_token_files_of_repeated_and_missing_ids(spark):
+    """One id on most rows, rows without id, several small files: everything comes back in order."""
+    rows = [(7, f"text {k} of a repeated id " * (k % 5)) for k in range(300)] + [(None, f"no id {k}") for k in range(40)] + [(k, "x") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tokenfile.roundtrip(df, file_bytes=4000).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    encoder = Encoder.of(default_path("byte_bpe_50k.json")).model
+    want = sorted((k is not None, k or 0, len(encoder.encode(t, add_special_tokens=False).ids) + 1) for k, t in rows)
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"]) for r in got) == want
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
+def test_a_path_without_scheme_is_on_the_default_file_system(spark):
+    from moiety.llm.cluster import qualified
+
+    assert qualified(spark, "/ckpt/x") == "file:///ckpt/x" and qualified(spark, "file:/a b/x") == "file:///a b/x"
+
+
 # ---- pipeline
 
 def test_pipeline(spark, docs, tmp_path):
