@@ -3,7 +3,8 @@
 The automaton accepts every substring of every item's word sequence. A document's words are
 streamed through it, giving at each word the longest suffix that is a substring of an item.
 Words and word pairs that no item holds break the stream, so only runs of item pairs are
-walked; numpy finds these runs.
+walked; numpy finds these runs. Items of more than ``MAX_ITEM_BYTES`` in all are spread over several
+automata by a hash; texts pass them one after another, and spans and items are united.
 
 Defined results: a null or empty text has no words, no hits and is not contaminated; items
 without words match nothing; repeated rows give repeated results; an empty documents table
@@ -20,14 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from moiety.llm import textkernel as tk
-from moiety.llm.cluster import small_batches
+from moiety.llm.cluster import cut, small_batches
 
 WINDOW = 8
-#: The automaton travels to every executor (some 80 bytes for each byte of item text); beyond this many bytes of text the call refuses.
+#: An automaton travels to every executor (some 80 bytes for each byte of item text): it holds about this much text at most.
 MAX_ITEM_BYTES = 8 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = bytes(tk.LOWER)
@@ -207,86 +209,102 @@ def merged(hits: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def load_index(benchmark: DataFrame, window: int = WINDOW) -> Index:
-    """Items are collected behind a check of their size."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > MAX_ITEM_BYTES:
-        raise ValueError(f"benchmark holds {size} bytes of text; {MAX_ITEM_BYTES} fit on every executor: pass it in parts")
-    return Index.build([(r[0], r[1]) for r in benchmark.select("item_id", "text").collect()], window)
+def _parts(benchmark: DataFrame) -> list[DataFrame]:
+    """The items in parts of bounded size, by a hash; each is collected by itself."""
+    own = benchmark.select("item_id", "text")
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size <= MAX_ITEM_BYTES:
+        return [own]
+    parts = -(-2 * size // MAX_ITEM_BYTES)
+    return [own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) for k in range(parts)]
 
 
-def _share(spark: SparkSession, benchmark: DataFrame, window: int):
-    return spark.sparkContext.broadcast(load_index(benchmark, window))
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _over(rows: DataFrame, benchmark: DataFrame, window: int, finish, schema: StructType) -> DataFrame:
+    """Stream texts through the automata; ``finish`` makes the output of a batch.
+
+    It gets the batch, the texts' bytes and offsets, and per text its words' starts and ends, merged
+    spans and items (as strings). Between two automata, rows are kept with what was found so far.
+    """
+    spark = rows.sparkSession
+    small_batches(spark)
+    at, width = rows.columns.index("text"), len(rows.columns)
+    between = StructType([*rows.schema.fields, *_parse_datatype_string("_spans array<struct<start:long,end:long>>, _items array<string>").fields])
+    parts, out = _parts(benchmark), rows
+    for k, part in enumerate(parts):
+        shared = spark.sparkContext.broadcast(Index.build([(r[0], r[1]) for r in part.collect()], window))
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, again=k > 0, last=k == len(parts) - 1) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            filters = _Filter(index.words), _Filter(index.pairs)
+            for batch in batches:
+                data, offsets = tk.buffers(batch.column(at))
+                for i, j in tk.chunks(offsets):
+                    own, here = batch.slice(i, j - i), (data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    found = [(starts, ends, hits, {*map(str, items)}) for _, starts, ends, hits, items in matches(index, *here, filters)]
+                    if again:
+                        before = zip(own.column(width).to_pylist(), own.column(width + 1).to_pylist())
+                        found = [(s, e, merged([*h, *((x["start"], x["end"]) for x in spans)]), {*it, *items}) for (s, e, h, it), (spans, items) in zip(found, before)]
+                    own = pa.RecordBatch.from_arrays(own.columns[:width], names=own.schema.names[:width])
+                    if last:
+                        yield finish(own, *here, found)
+                    else:
+                        spans = pa.array([[{"start": a, "end": b} for a, b in h] for _, _, h, _ in found], _SPANS)
+                        yield pa.RecordBatch.from_arrays([*own.columns, spans, pa.array([sorted(it) for *_, it in found], pa.list_(pa.string()))], names=[*own.schema.names, "_spans", "_items"])
+
+        out = (cut(out) if k else out).mapInArrow(scan, schema if k == len(parts) - 1 else between)
+    return out
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: counts, items, and the merged hit spans in words."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = _share(spark, benchmark, window)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("coverage", pa.float64())])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        filters = _Filter(index.words), _Filter(index.pairs)
-        for batch in batches:
-            data, offsets = tk.buffers(batch.column(1))
-            for i, j in tk.chunks(offsets):
-                ids = batch.column(0)[i:j]
-                cols: list[list] = [[] for _ in range(7)]
-                part = data[offsets[i] : offsets[j]]
-                for _, starts, _, hits, items in matches(index, part, offsets[i : j + 1] - offsets[i], filters):
-                    hit = sum(b - a for a, b in hits)
-                    row = (len(starts), hit, len(items), hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest(), len(items) >= 2, [{"start": a, "end": b} for a, b in hits], hit / len(starts) if len(starts) else 0.0)
-                    for c, v in zip(cols, row):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64())] + [pa.array(c, schema.field(k + 1).type) for k, c in enumerate(cols)], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, REPORT)
-
-
-def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = WINDOW, max_coverage: float = 0.8) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", _SPANS), ("coverage", pa.float64())])
+
+    def report(own: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, found: list) -> pa.RecordBatch:
+        rows = []
+        for starts, _, hits, items in found:
+            hit = sum(b - a for a, b in hits)
+            rows.append((len(starts), hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), len(items) >= 2, [{"start": a, "end": b} for a, b in hits], hit / len(starts) if len(starts) else 0.0))
+        return pa.RecordBatch.from_arrays([own.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:]))], schema=schema)
+
+    return _over(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, report, _parse_datatype_string(REPORT))
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = 2, max_coverage: float = 0.8) -> DataFrame:
     """``docs`` without matched spans of ``min_words`` words or more.
 
-    A document more than ``max_coverage`` of whose words are hit goes as a whole. A removed span
-    leaves one space. n_chars, where it is a column, becomes the new length of a changed text.
-    All columns stay. A null text stays null.
+    Spans are of ``window`` words at least, or a whole item of fewer. A document more than
+    ``max_coverage`` of whose words are hit goes as a whole. A removed span leaves one space.
+    n_chars, where it is a column, becomes the new length of a changed text. All columns stay. A
+    null text stays null.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = _share(spark, benchmark, window)
     at = docs.columns.index("text")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        filters = _Filter(index.words), _Filter(index.pairs)
-        for batch in batches:
-            data, offsets = tk.buffers(batch.column(at))
-            for i, j in tk.chunks(offsets):
-                rows = batch.slice(i, j - i)
-                texts, keep, changed = rows.column(at).to_pylist(), [], {}
-                part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                for row, starts, ends, hits, _ in matches(index, part, offs, filters):
-                    hit = sum(b - a for a, b in hits)
-                    if hit and hit > max_coverage * len(starts):
-                        continue
-                    keep.append(row)
-                    spans = [(int(starts[a]), int(ends[b - 1])) for a, b in hits if b - a >= min_words]
-                    if spans:
-                        pieces, p = [], int(offs[row])
-                        for a, b in spans:
-                            pieces.append(part[p:a].tobytes())
-                            p = b
-                        pieces.append(part[p : offs[row + 1]].tobytes())
-                        changed[row] = b" ".join(pieces).decode()
-                out = []
-                for k, name in enumerate(rows.schema.names):
-                    col = rows.column(k)
-                    if changed and k == at:
-                        col = pa.array([changed.get(r, t) for r, t in enumerate(texts)], col.type)
-                    elif changed and name == "n_chars":
-                        col = pa.array([len(changed[r]) if r in changed else v for r, v in enumerate(col.to_pylist())], col.type)
-                    out.append(col)
-                yield pa.RecordBatch.from_arrays(out, schema=rows.schema).take(pa.array(keep, pa.int64()))
-
-    return docs.mapInArrow(scan, docs.schema)
+    def rest(own: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, found: list) -> pa.RecordBatch:
+        texts, keep, changed = own.column(at).to_pylist(), [], {}
+        for row, (starts, ends, hits, _) in enumerate(found):
+            hit = sum(b - a for a, b in hits)
+            if hit and hit > max_coverage * len(starts):
+                continue
+            keep.append(row)
+            spans = [(int(starts[a]), int(ends[b - 1])) for a, b in hits if b - a >= min_words]
+            if spans:
+                pieces, p = [], int(offsets[row])
+                for a, b in spans:
+                    pieces.append(data[p:a].tobytes())
+                    p = b
+                pieces.append(data[p : offsets[row + 1]].tobytes())
+                changed[row] = b" ".join(pieces).decode()
+        out = []
+        for k, name in enumerate(own.schema.names):
+            col = own.column(k)
+            if changed and k == at:
+                col = pa.array([changed.get(r, t) for r, t in enumerate(texts)], col.type)
+            elif changed and name == "n_chars":
+                col = pa.array([len(changed[r]) if r in changed else v for r, v in enumerate(col.to_pylist())], col.type)
+            out.append(col)
+        return pa.RecordBatch.from_arrays(out, schema=own.schema).take(pa.array(keep, pa.int64()))
+
+    return _over(docs, benchmark, window, rest, docs.schema)

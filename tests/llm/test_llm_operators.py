@@ -81,6 +81,18 @@ def test_decontaminate_odd(spark, odd, empty):
     assert row["text"] == "a b c d e f   g h i j k l" and row["n_chars"] == len(row["text"])
 
 
+def test_decontaminate_with_many_automata(spark, docs, odd, monkeypatch):
+    """Items spread over several automata give what one gives."""
+    bench = table(spark, "benchmark").unionByName(spark.createDataFrame([(9001, "fox jumps"), (9002, "quick brown fox jumps over the lazy dog and runs")], "item_id long, text string"))
+    rows = docs.select("doc_id", "text", "n_chars").unionByName(odd.select("doc_id", "text", "n_chars"))
+    key = lambda df: sorted(map(repr, df.collect()))
+    found, kept = key(decontaminate.find(rows, bench)), key(decontaminate.remove(rows, bench))
+    assert any("fox" not in r and "The quick brown" in r for r in kept) or len(kept) < rows.count()
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_BYTES", 2000)
+    assert len(decontaminate._parts(bench)) > 3
+    assert key(decontaminate.find(rows, bench)) == found and key(decontaminate.remove(rows, bench)) == kept
+
+
 # ---- 2
 
 def test_language_query(spark, docs):
