@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 
 from moiety.functions.graph import AROMATIC, Graph
 from moiety.functions.hashing import feature, fold
@@ -69,6 +70,16 @@ def connected_subsets(g: Graph, least: int, most: int):
             done = done | {k}
 
 
+@lru_cache(maxsize=1 << 18)
+def _folded(z: int, kind: int, under: tuple[int, ...]) -> int:
+    """``feature``, remembered: the branches of neighbouring subsets are mostly the same."""
+    return feature(z, kind, list(under))
+
+
+#: Marks a bond that is folded from both of its ends.
+_MIDDLE = 0x4D49
+
+
 def subset_hash(g: Graph, chosen: tuple[int, ...]) -> int | None:
     """Hash of a connected bond set: leaves are folded inwards, a single ring by its least reading."""
     ties: dict[int, dict[int, int]] = {}
@@ -76,25 +87,30 @@ def subset_hash(g: Graph, chosen: tuple[int, ...]) -> int | None:
         b = g.bonds[k]
         ties.setdefault(b.a, {})[b.b] = b.type
         ties.setdefault(b.b, {})[b.a] = b.type
-    under: dict[int, list[int]] = {i: [] for i in ties}
-    while leaves := [i for i, n in ties.items() if len(n) == 1]:
-        ends = set(leaves)
+    under: dict[int, tuple[int, ...]] = dict.fromkeys(ties, ())
+    leaves = [i for i, n in ties.items() if len(n) == 1]
+    while leaves:
+        ends, then = set(leaves), []
         for i in leaves:
             (j, kind), = ties.pop(i).items()
-            own = feature(g.atoms[i].z, kind, under[i])
+            own = _folded(g.atoms[i].z, kind, under[i])
             if j in ends:  # two atoms are left
-                return feature(666, 0, [own, feature(g.atoms[j].z, kind, under[j])])
-            del ties[j][i]
-            under[j].append(own)
-            if not ties[j]:
-                return feature(g.atoms[j].z, 0, under[j])
+                return _folded(_MIDDLE, 0, tuple(sorted((own, _folded(g.atoms[j].z, kind, under[j])))))
+            left = ties[j]
+            del left[i]
+            under[j] = tuple(sorted((*under[j], own)))
+            if not left:
+                return _folded(g.atoms[j].z, 0, under[j])
+            if len(left) == 1:
+                then.append(j)
+        leaves = then
     if any(len(n) != 2 for n in ties.values()):
         return None
     start = next(iter(ties))
     ring, here, came = [], start, None
     while True:
         step = next(j for j in ties[here] if j != came) if came is not None else next(iter(ties[here]))
-        ring += [feature(g.atoms[here].z, 0, under[here]) & 0xFFFFFFFF, ties[here][step]]
+        ring += [_folded(g.atoms[here].z, 0, under[here]) & 0xFFFFFFFF, ties[here][step]]
         came, here = here, step
         if here == start:
             break
@@ -130,14 +146,22 @@ def subgraphs(g: Graph, query: bool = False, cover: dict | None = None) -> Count
     return out
 
 
-def rings(g: Graph, cover: dict | None = None) -> Counter:
-    """Simple rings by size, counted up to ``RING_CAP`` each (our stand-in for a pattern set)."""
+def rings(g: Graph, cover: dict | None = None, query: bool = False) -> Counter:
+    """Simple rings by size, counted up to ``RING_CAP`` each (our stand-in for a pattern set).
+
+    Where the search for rings of a size was cut off, a target counts ``RING_CAP`` of them and a query
+    none, so that screening never loses a match.
+    """
     out: Counter = Counter()
-    for c in cycles(g, 7, 4 * RING_CAP):
-        out[len(c)] = min(RING_CAP, out[len(c)] + 1)
+    for size in range(3, 8):
+        every = cycles(g, size, 4 * RING_CAP)
+        whole, found = len(every) < 4 * RING_CAP, [c for c in every if len(c) == size]
+        if not whole if query else whole and not found:
+            continue
+        out[size] = min(RING_CAP, len(found)) if whole else RING_CAP
         if cover is not None:
-            cover.setdefault(len(c), set()).update(c)
-    return out
+            cover.setdefault(size, set()).update(x for c in found for x in c)
+    return Counter({size: n for size, n in out.items() if n})
 
 
 def elements(g: Graph, cover: dict | None = None) -> Counter:
@@ -153,7 +177,7 @@ def elements(g: Graph, cover: dict | None = None) -> Counter:
 def substructure_bits(g: Graph, query: bool = False, cover: dict[int, set[int]] | None = None) -> set[int]:
     """Bits (kind, log count, feature): a target has all levels up to its count's, a query the top one."""
     out: set[int] = set()
-    for kind, count in ((1, lambda c: subgraphs(g, query, c)), (2, lambda c: rings(g, c)), (3, lambda c: elements(g, c))):
+    for kind, count in ((1, lambda c: subgraphs(g, query, c)), (2, lambda c: rings(g, c, query)), (3, lambda c: elements(g, c))):
         own: dict | None = {} if cover is not None else None
         for h, n in count(own).items():
             top = min(n.bit_length() - 1, COUNT_LEVELS - 1)

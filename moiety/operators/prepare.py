@@ -29,8 +29,15 @@ def index_row(compound: int, text: str) -> dict:
         return empty | {"message": str(e) or type(e).__name__}
 
 
+#: Structures that a task remembers, so that repeated texts are read once.
+REMEMBER = 10_000
+
+
 def prepare(table: DataFrame, id_column: str = "id", structure_column: str = "molfile") -> DataFrame:
-    """Index rows plus ``message``: null for a clean row; with null atoms the row failed."""
+    """Index rows plus ``message``: null for a clean row; with null atoms the row failed.
+
+    Reading a structure takes milliseconds, so rows are first spread over all tasks, however few files they come from.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -38,11 +45,21 @@ def prepare(table: DataFrame, id_column: str = "id", structure_column: str = "mo
     schema = to_arrow_schema(_parse_datatype_string(ddl))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict] = {}
         for batch in batches:
-            rows = [index_row(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for at in range(0, batch.num_rows, 500):  # index rows are large
+                own, rows = batch.slice(at, 500), []
+                for i, t in zip(own.column(0).to_pylist(), own.column(1).to_pylist()):
+                    if t not in known:
+                        if len(known) >= REMEMBER:
+                            known.clear()
+                        known[t] = index_row(i, t)
+                    rows.append(known[t] | {"compound": i})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return table.select(F.col(id_column).cast("long"), F.col(structure_column).cast("string")).mapInArrow(step, ddl)
+    spark = table.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return table.select(F.col(id_column).cast("long"), F.col(structure_column).cast("string")).repartition(tasks).mapInArrow(step, ddl)
 
 
 def split(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,12 +67,46 @@ def split(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prepared.filter(F.col("atoms").isNotNull()).drop("message"), prepared.filter(F.col("message").isNotNull()).select("compound", "message")
 
 
-def postings(molecules: DataFrame) -> DataFrame:
-    """(field, bit, compound): one row per substructure bit, and per distinct similarity bit over all levels."""
-    sub = molecules.select(F.lit("sub").alias("field"), F.explode("sub_bits").alias("bit"), "compound")
-    sim = molecules.select(F.lit("sim").alias("field"), F.explode(F.array_distinct(F.flatten("sim_levels"))).alias("bit"), "compound")
+def postings(rows: DataFrame, id_column: str = "compound") -> DataFrame:
+    """(field, bit, compound): one row per distinct bit of ``sub_bits``, and of ``sim_levels`` over all levels."""
+    c = F.col(id_column).alias("compound")
+    sub = rows.select(F.lit("sub").alias("field"), F.explode(F.array_distinct("sub_bits")).alias("bit"), c)
+    sim = rows.select(F.lit("sim").alias("field"), F.explode(level_union("sim_levels")).alias("bit"), c)
     return sub.unionByName(sim)
 
 
+def level_union(levels) -> F.Column:
+    """Distinct bits over all levels."""
+    return F.array_distinct(F.flatten(levels))
+
+
+def posting_scan(posting: DataFrame, field: str, bits: list) -> DataFrame:
+    """Posting rows of these bits; postings are clustered by (field, bit), so a scan prunes to them."""
+    return posting.filter((F.col("field") == field) & F.col("bit").isin(list(bits)))
+
+
+def holders_of_all(posting: DataFrame, field: str, bits: list) -> DataFrame:
+    """(compound) of those in the postings of every bit."""
+    found = posting_scan(posting, field, bits).groupBy("compound").agg(F.count("*").alias("n"))
+    return found.filter(F.col("n") == len(set(bits))).select("compound")
+
+
+def holders_of_any(posting: DataFrame, field: str, bits: list) -> DataFrame:
+    """(compound) of those in the postings of some bit."""
+    return posting_scan(posting, field, bits).select("compound").distinct()
+
+
+def clustered(posting: DataFrame) -> DataFrame:
+    """Postings as they are stored: ranges of (field, bit, compound), so that a bit that all have is split too."""
+    return posting.repartitionByRange("field", "bit", "compound").sortWithinPartitions("field", "bit", "compound")
+
+
+def cumulative_sizes(levels: DataFrame) -> DataFrame:
+    """(id, lvl, size) of (id, lvl, n): members up to each level."""
+    from pyspark.sql import Window
+
+    return levels.select("id", "lvl", F.sum("n").over(Window.partitionBy("id").orderBy("lvl")).alias("size"))
+
+
 def document_frequency(posting: DataFrame) -> DataFrame:
     return posting.groupBy("field", "bit").agg(F.count("*").alias("df"))

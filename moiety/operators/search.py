@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from moiety.functions import structures
 from moiety.functions.matching import LimitExceeded, Modes, Query
 from moiety.operators import multiset
+from moiety.operators.prepare import holders_of_all, holders_of_any
 from moiety.operators.rows import SIZES, to_graph
 
 MOST_BITS, COVERAGE = 32, 2
+#: Bits of a query that are looked up in the postings.
+RARE = 3
 _TINY = 1.401298464324817e-45  # the least positive 32-bit value
 
 
@@ -57,14 +60,23 @@ def size_filter(q: Query) -> Column:
     return (c("n_heavy") >= heavy) & (c("n_hyd") >= hyd) & (c("n_xbond") >= xb)
 
 
-def bits_filter(bits: list[int], column: str = "sub_bits") -> Column:
+def _bit(b) -> Column:
+    return F.lit(b).cast("int") if isinstance(b, int) else F.lit(b)
+
+
+def bits_filter(bits: list, column: str | Column = "sub_bits") -> Column:
     """All of them occur."""
     out = F.lit(True)
     for b in bits:
-        out = out & F.array_contains(column, F.lit(b).cast("int"))
+        out = out & F.array_contains(column, _bit(b))
     return out
 
 
+def any_bit_filter(bits: list, column: str | Column) -> Column:
+    """Some of them occur."""
+    return F.arrays_overlap(column, F.array(*[_bit(b) for b in bits]))
+
+
 def score_column(q: tuple[int, int, int, int]) -> Column:
     def part(n: int, c: str) -> Column:
         return F.when(F.col(c) == 0, F.lit(1.0)).otherwise(F.lit(float(n)) / F.col(c))
@@ -103,8 +115,11 @@ def ordered(hits: DataFrame, topn: int = -1, sort: bool = False) -> DataFrame:
     return hits.orderBy(F.desc("score"), "compound").limit(topn)
 
 
-def substructure_hits(molecules: DataFrame, query: str, search: str = "SUBSTRUCTURE", charge: str = "DEFAULT_AS_ANY", isotope: str = "IGNORE", radical: str = "IGNORE", stereo: str = "IGNORE", aromaticity: str = "AUTO", tautomer: str = "IGNORE", limit: int = 0, docfreq: DataFrame | None = None, screen: bool = True) -> DataFrame:
-    """(compound, score, timed_out), the best score over the query's variants."""
+def substructure_hits(molecules: DataFrame, query: str, search: str = "SUBSTRUCTURE", charge: str = "DEFAULT_AS_ANY", isotope: str = "IGNORE", radical: str = "IGNORE", stereo: str = "IGNORE", aromaticity: str = "AUTO", tautomer: str = "IGNORE", limit: int = 0, docfreq: DataFrame | None = None, screen: bool = True, posting: DataFrame | None = None) -> DataFrame:
+    """(compound, score, timed_out), the best score over the query's variants.
+
+    With ``posting``, the rarest RARE bits are looked up there first; all others are compared with the stored arrays.
+    """
     modes = Modes(search, charge, isotope, radical, stereo)
     parts = []
     for v in structures.variants(query, modes, aromaticity, tautomer):
@@ -112,7 +127,11 @@ def substructure_hits(molecules: DataFrame, query: str, search: str = "SUBSTRUCT
         if modes.exact and not v.graph.sgroups:
             found = found.filter(F.size("sgroups") == 0)
         if screen and v.bits:
-            found = found.filter(bits_filter(choose_bits(v.bits, v.cover, frequencies(docfreq, "sub", v.bits), len(v.graph.atoms))))
+            chosen = choose_bits(v.bits, v.cover, frequencies(docfreq, "sub", v.bits), len(v.graph.atoms))
+            if posting is not None and chosen:
+                found = found.join(holders_of_all(posting, "sub", chosen[:RARE]), "compound", "left_semi")
+                chosen = chosen[RARE:]
+            found = found.filter(bits_filter(chosen))
         parts.append(verify(found, v.query, limit).select("compound", score_column(v.query.sizes).alias("score"), "timed_out"))
     out = parts[0]
     for p in parts[1:]:
@@ -125,14 +144,23 @@ def substructure_hits(molecules: DataFrame, query: str, search: str = "SUBSTRUCT
 def substructure_search(molecules: DataFrame, query: str, topn: int = -1, sort: bool = False, **modes) -> DataFrame:
     """(compound, score). Null arguments give no rows. Comparisons out of budget are left out
     (``substructure_hits`` lists them)."""
-    if query is None or None in modes.values() and any(v is None for k, v in modes.items() if k != "docfreq"):
+    if query is None or None in modes.values() and any(v is None for k, v in modes.items() if k not in ("docfreq", "posting")):
         return molecules.select("compound", F.lit(0.0).cast("float").alias("score")).limit(0)
     hits = substructure_hits(molecules, query, **modes)
     return ordered(hits.filter(~F.col("timed_out")).select("compound", "score"), topn, sort)
 
 
-def similarity_search(molecules: DataFrame, query: str, threshold: float = 0.85, radius: int = 1, aromaticity: str = "AUTO", tautomer: str = "IGNORE", topn: int = -1, sort: bool = False, docfreq: DataFrame | None = None, screen: bool = True) -> DataFrame:
-    """(compound, score): multiset Tanimoto of circular descriptors of radius 0..radius."""
+def substructure_top(molecules: DataFrame, query: str, topn: int, **modes) -> DataFrame:
+    """The best ``topn`` as (compound, score, timed_out): hits first, then comparisons out of budget, with score 0."""
+    hits = substructure_hits(molecules, query, **modes).withColumn("score", F.when(F.col("timed_out"), F.lit(0.0)).otherwise(F.col("score")).cast("float"))
+    return ordered(hits, max(0, topn))
+
+
+def similarity_search(molecules: DataFrame, query: str, threshold: float = 0.85, radius: int = 1, aromaticity: str = "AUTO", tautomer: str = "IGNORE", topn: int = -1, sort: bool = False, docfreq: DataFrame | None = None, screen: bool = True, posting: DataFrame | None = None) -> DataFrame:
+    """(compound, score): multiset Tanimoto of circular descriptors of radius 0..radius.
+
+    Candidates come from ``posting``, where it is given, else from the arrays of all rows.
+    """
     if threshold is not None and not threshold > 0:
         raise ValueError("threshold must be above 0")
     empty = molecules.select("compound", F.lit(0.0).cast("float").alias("score")).limit(0)
@@ -155,7 +183,7 @@ def similarity_search(molecules: DataFrame, query: str, threshold: float = 0.85,
                 for b in x:
                     count[b] = count.get(b, 0) + 1
             chosen = multiset.prefix(count, frequencies(docfreq, "sim", set(count)), threshold)
-            found = found.filter(F.arrays_overlap(F.flatten("sim_levels"), F.array(*[F.lit(b).cast("int") for b in chosen])))
+            found = found.filter(any_bit_filter(chosen, F.flatten("sim_levels"))) if posting is None else found.join(holders_of_any(posting, "sim", chosen), "compound", "left_semi")
         common = multiset.array_overlap(F.col("sim_levels"), levels)
         s = multiset.tanimoto(common, size, F.lit(n))
         part = found.select("compound", s.alias("score")).filter(F.col("score") >= F.lit(threshold).cast("float"))

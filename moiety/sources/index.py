@@ -1,26 +1,34 @@
 """Versioned Parquet indexes of molecule tables, kept in step by an audit queue.
 
-``<root>/<index>/v=<N>/{molecules,postings,docfreq}`` are immutable; ``<root>/catalog.json`` names
-the current version of each index and is replaced as a whole, so readers keep the version they
-opened. Changes wait in ``<root>/<index>/audit`` and are settled by ``sync_data``.
+``<root>/<index>/segments/<name>/{molecules,postings,docfreq}`` are immutable, as are the lists of
+ids in ``deletes/<name>``. ``v=<N>/manifest.json`` says of which segments a version consists and
+which lists apply to each, so a sync writes what is new and merges small segments only. The catalog
+names the current version of each index; it is written as a new numbered file, and the highest
+number counts, so readers keep the version they opened and a crash leaves the old catalog. Changes
+wait in ``<root>/<index>/audit`` and are settled by ``sync_data``.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 import warnings
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moiety.operators import search
-from moiety.operators.prepare import document_frequency, postings, prepare, split
+from moiety.operators.rows import SCHEMA
+from moiety.operators.prepare import clustered, document_frequency, postings, prepare, split
 
 _NAME = re.compile(r"^[a-zA-Z0-9_]+$")
 ROWS_PER_FILE = 500_000
+#: Seconds after which a claim on a catalog number that led to no catalog is given up.
+STALE = 60
+POSTINGS, DOCFREQ = "field string, bit int, compound long", "field string, bit int, df long"
 AUDIT = "compound long, delete boolean"
 ERRORS = "timestamp timestamp, version int, compound long, message string"
 
@@ -42,6 +50,20 @@ class Entry:
     version: int = 0
 
 
+@dataclass
+class Segment:
+    """Part of a version: its rows, how many of them are deleted, and the lists that say which."""
+
+    name: str
+    rows: int
+    deletes: int = 0
+    gone: list[str] = field(default_factory=list)
+
+
+class Conflict(RuntimeError):
+    """Another writer changed the catalog meanwhile."""
+
+
 class IndexStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -71,28 +93,51 @@ class IndexStore:
         fs, p = self._fs(path)
         return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
-    # catalog
-
-    def catalog(self) -> list[Entry]:
-        path = f"{self.root}/catalog.json"
-        if not self._exists(path):
-            return []
+    def _read_text(self, path: str) -> str:
         fs, p = self._fs(path)
         stream = fs.open(p)
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return [Entry(**x) for x in json.loads(text)]
 
-    def _write_catalog(self, entries: list[Entry]) -> None:
-        temp = f"{self.root}/catalog.{uuid.uuid4().hex}.tmp"
+    def _write_text(self, path: str, text: str) -> None:
+        temp = f"{path}.{uuid.uuid4().hex}.tmp"
         fs, p = self._fs(temp)
         out = fs.create(p)
-        out.write(bytearray(json.dumps([asdict(x) for x in entries]).encode()))
+        out.write(bytearray(text.encode()))
         out.close()
-        self._remove(f"{self.root}/catalog.json")
-        self._move(temp, f"{self.root}/catalog.json")
+        self._move(temp, path)
+
+    # catalog
+
+    def _numbers(self, kind: str) -> list[int]:
+        return sorted(int(n.split(".")[0]) for n in self._names(f"{self.root}/catalog") if n.endswith(f".{kind}"))
+
+    def _read_catalog(self) -> tuple[int, list[Entry]]:
+        newest = max(self._numbers("json"), default=0)
+        return newest, [Entry(**x) for x in json.loads(self._read_text(f"{self.root}/catalog/{newest:010d}.json"))] if newest else []
+
+    def catalog(self) -> list[Entry]:
+        return self._read_catalog()[1]
+
+    def _write_catalog(self, entries: list[Entry], base: int) -> None:
+        """The catalog after ``base``; Conflict if another one came, or is being written."""
+        fs, folder = self._fs(f"{self.root}/catalog")
+        fs.mkdirs(folder)
+        number = max([base, *self._numbers("claim")]) + 1
+        claim = self._fs(f"{self.root}/catalog/{number:010d}.claim")[1]
+        fresh = [n for n in self._numbers("claim") if n > base and time.time() - fs.getFileStatus(self._fs(f"{self.root}/catalog/{n:010d}.claim")[1]).getModificationTime() / 1000 < STALE]
+        if fresh or not fs.createNewFile(claim):
+            raise Conflict("the catalog is being changed")
+        if max(self._numbers("json"), default=0) != base:
+            fs.delete(claim, False)
+            raise Conflict("the catalog was changed")
+        self._write_text(f"{self.root}/catalog/{number:010d}.json", json.dumps([asdict(x) for x in entries]))
+        for kind in ("json", "claim"):
+            for n in self._numbers(kind):
+                if n < base or kind == "claim" and n <= number:
+                    fs.delete(self._fs(f"{self.root}/catalog/{n:010d}.{kind}")[1], False)
 
     def entry(self, index: str) -> Entry:
         for e in self.catalog():
@@ -115,18 +160,19 @@ class IndexStore:
         for name, value in (("threads", threads), ("segments", segments), ("buffered_docs", buffered_docs), ("buffer_size", buffer_size)):
             if value <= 0:
                 raise ValueError(f"{name} must be above 0")
-        all_ = self.catalog()
+        base, all_ = self._read_catalog()
         if any(e.index_name == index_name for e in all_):
             raise ValueError(f"index {index_name!r} exists")
         e = Entry(1 + max((x.id for x in all_), default=0), index_name, schema_name, table_name, id_column, structure_column, threads, segments, buffered_docs, float(buffer_size))
-        self._write_catalog([*all_, e])
+        self._write_catalog([*all_, e], base)
         source = table if table is not None else self._source(e)
         self.enqueue(index_name, source.select(F.col(id_column).cast("long").alias("compound"), F.lit(False).alias("delete")))
         return e
 
     def remove_index(self, index_name: str) -> None:
         self.entry(index_name)
-        self._write_catalog([e for e in self.catalog() if e.index_name != index_name])
+        base, all_ = self._read_catalog()
+        self._write_catalog([e for e in all_ if e.index_name != index_name], base)
         self._close(index_name)
         self._remove(f"{self.root}/{index_name}")
 
@@ -147,52 +193,103 @@ class IndexStore:
         events = self.spark.read.schema(AUDIT).parquet(path) if self._exists(path) else self.spark.createDataFrame([], AUDIT)
         return collapse(events)
 
+    def _manifest(self, index: str, version: int) -> list[Segment]:
+        return [Segment(**x) for x in json.loads(self._read_text(f"{self.root}/{index}/v={version}/manifest.json"))] if version else []
+
+    def _part(self, index: str, segment: Segment, what: str, schema: str) -> DataFrame:
+        """A segment's rows that are not deleted."""
+        df = self.spark.read.schema(schema).parquet(f"{self.root}/{index}/segments/{segment.name}/{what}")
+        if not segment.gone:
+            return df
+        gone = self.spark.read.schema("compound long").parquet(*[f"{self.root}/{index}/deletes/{x}" for x in segment.gone])
+        return df.join(gone, "compound", "left_anti")
+
+    def _whole(self, index: str, segments: list[Segment], what: str, schema: str) -> DataFrame:
+        out = None
+        for x in segments:
+            part = self._part(index, x, what, schema)
+            out = part if out is None else out.unionByName(part)
+        return self.spark.createDataFrame([], schema) if out is None else out
+
+    def _write_segment(self, index: str, rows: DataFrame, expected: int, e: Entry, optimize: bool) -> Segment:
+        name = uuid.uuid4().hex
+        path = f"{self.root}/{index}/segments/{name}"
+        if optimize:  # files keep a bounded number of rows however large the segment is
+            rows = rows.repartition(max(1, -(-expected // ROWS_PER_FILE)), "compound").sortWithinPartitions("n_heavy", "compound")
+        rows.write.parquet(f"{path}/molecules")
+        stored = self.spark.read.schema(SCHEMA).parquet(f"{path}/molecules")
+        clustered(postings(stored)).write.parquet(f"{path}/postings")
+        document_frequency(self.spark.read.schema(POSTINGS).parquet(f"{path}/postings")).write.parquet(f"{path}/docfreq")
+        return Segment(name, stored.count())
+
     def sync_data(self, index: str, verbose: bool = False, optimize: bool = True, table: DataFrame | None = None) -> int:
-        """Settle the queue in a new version: deletes go, rows that still exist are read anew."""
+        """Settle the queue in a new version: deletes go, rows that still exist are read anew.
+
+        Pending rows become a segment, and their ids a list of deletes for older segments that hold them.
+        With ``optimize``, the smallest segments are merged until there are no more than the index asks for.
+        """
+        base, all_ = self._read_catalog()
         e = self.entry(index)
         source = table if table is not None else self._source(e)
         waiting = self._names(f"{self.root}/{index}/audit")
         pending = self.pending(index)
-        version = e.version + 1
+        version, here = e.version + 1, f"{self.root}/{index}"
         fresh = source.select(F.col(e.id_column).cast("long").alias("compound"), F.col(e.structure_column).cast("string").alias("structure")).join(pending.select("compound"), "compound")
-        temp = f"{self.root}/{index}/tmp-{uuid.uuid4().hex}"
+        temp = f"{here}/tmp-{uuid.uuid4().hex}"
         # parsed once, written once; everything else reads that
         prepare(fresh, "compound", "structure").write.parquet(f"{temp}/prepared")
-        good, bad = split(self.spark.read.parquet(f"{temp}/prepared"))
-        rows = good
-        if e.version:
-            old = self.spark.read.parquet(f"{self.root}/{index}/v={e.version}/molecules")
-            # a compound read anew replaces its old row, also if it was only queued as an insert
-            rows = old.join(pending.select("compound"), "compound", "left_anti").unionByName(good)
+        good, bad = split(self.spark.read.schema(f"{SCHEMA}, message string").parquet(f"{temp}/prepared"))
+        segments = self._manifest(index, e.version)
+        if segments:  # a compound read anew replaces its old row, also if it was only queued as an insert
+            name = uuid.uuid4().hex
+            pending.select("compound").write.parquet(f"{here}/deletes/{name}")
+            gone = self.spark.read.schema("compound long").parquet(f"{here}/deletes/{name}")
+            for x in segments:
+                n = self._part(index, x, "molecules", SCHEMA).select("compound").join(gone, "compound", "left_semi").count()
+                if n:
+                    x.deletes, x.gone = x.deletes + n, [*x.gone, name]
+            segments = [x for x in segments if x.rows > x.deletes]
+        n = good.count()  # from Parquet statistics of one column
+        if n or not segments:
+            segments.append(self._write_segment(index, good, n, e, optimize))
         if optimize:
-            # counts come from Parquet footers; files keep a bounded number of rows however large the index is
-            n = good.count() + (old.count() if e.version else 0)
-            rows = rows.repartition(max(e.segments, -(-n // ROWS_PER_FILE)), "compound").sortWithinPartitions("n_heavy", "compound")
-        rows.write.parquet(f"{temp}/molecules")
-        stored = self.spark.read.parquet(f"{temp}/molecules")
-        postings(stored).repartition("field", "bit").sortWithinPartitions("field", "bit").write.parquet(f"{temp}/postings")
-        document_frequency(self.spark.read.parquet(f"{temp}/postings")).write.parquet(f"{temp}/docfreq")
+            merged = []
+            for group in balanced_merge([x.rows - x.deletes for x in segments], e.segments):
+                own = [segments[i] for i in group]
+                live = sum(x.rows - x.deletes for x in own)
+                # a segment most of whose rows are deleted is written again too
+                again = len(own) > 1 or 2 * live < own[0].rows
+                merged.append(self._write_segment(index, self._whole(index, own, "molecules", SCHEMA), live, e, True) if again else own[0])
+            segments = merged
         notes = bad.select(F.current_timestamp().alias("timestamp"), F.lit(version).alias("version"), "compound", "message")
-        notes.write.mode("append").parquet(f"{self.root}/{index}/errors")
+        notes.write.mode("append").parquet(f"{here}/errors")
         if verbose:
-            print(f"{index}: version {version}, {stored.count()} molecules")
-        self._remove(f"{temp}/prepared")
-        self._remove(f"{self.root}/{index}/v={version}")  # what a failed call may have left
-        self._move(temp, f"{self.root}/{index}/v={version}")
-        self._write_catalog([Entry(**asdict(x) | {"version": version}) if x.index_name == index else x for x in self.catalog()])
+            print(f"{index}: version {version}, {sum(x.rows - x.deletes for x in segments)} molecules in {len(segments)} segments")
+        self._remove(temp)
+        self._remove(f"{here}/v={version}")  # what a failed call may have left
+        fs, p = self._fs(f"{here}/v={version}")
+        fs.mkdirs(p)
+        self._write_text(f"{here}/v={version}/manifest.json", json.dumps([asdict(x) for x in segments]))
+        self._write_catalog([Entry(**asdict(x) | {"version": version}) if x.index_name == index else x for x in all_], base)
         for name in waiting:  # events that came meanwhile stay
-            self._remove(f"{self.root}/{index}/audit/{name}")
+            self._remove(f"{here}/audit/{name}")
         return version
 
     def cleanup(self, index: str) -> list[str]:
-        """Remove every version but the current one; names that are none of ours are warned of."""
+        """Remove every version but the current one, and what no version needs; names that are none of ours are warned of."""
         e, gone = self.entry(index), []
+        used = self._manifest(index, e.version)
         for name in self._names(f"{self.root}/{index}"):
             if name.startswith("tmp-") or (name.startswith("v=") and name != f"v={e.version}"):
                 self._remove(f"{self.root}/{index}/{name}")
                 gone.append(name)
-            elif name not in ("audit", "errors", f"v={e.version}"):
+            elif name not in ("audit", "errors", "segments", "deletes", f"v={e.version}"):
                 warnings.warn(f"unknown entry {name}", stacklevel=2)
+        for kind, names in (("segments", {x.name for x in used}), ("deletes", {y for x in used for y in x.gone})):
+            for name in self._names(f"{self.root}/{index}/{kind}"):
+                if name not in names:
+                    self._remove(f"{self.root}/{index}/{kind}/{name}")
+                    gone.append(f"{kind}/{name}")
         return gone
 
     # reading
@@ -203,7 +300,7 @@ class IndexStore:
 
     def molecules(self, index: str, cache: bool = False) -> DataFrame:
         e = self._synced(index)
-        df = self.spark.read.parquet(f"{self.root}/{index}/v={e.version}/molecules")
+        df = self._whole(index, self._manifest(index, e.version), "molecules", SCHEMA)
         if not cache:
             return df
         if index in self._open and self._open[index][0] != e.version:
@@ -217,29 +314,33 @@ class IndexStore:
         return self.molecules(index).select("compound") if self.entry(index).version else self.spark.createDataFrame([], "compound long")
 
     def docfreq(self, index: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{index}/v={self._synced(index).version}/docfreq")
+        """(field, bit, df); deleted rows count until their segment is merged, as only the order of bits depends on it."""
+        segments = [Segment(x.name, x.rows) for x in self._manifest(index, self._synced(index).version)]
+        return self._whole(index, segments, "docfreq", DOCFREQ).groupBy("field", "bit").agg(F.sum("df").alias("df"))
 
     def postings(self, index: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{index}/v={self._synced(index).version}/postings")
+        return self._whole(index, self._manifest(index, self._synced(index).version), "postings", POSTINGS)
 
     def errors(self, index: str) -> DataFrame:
         path = f"{self.root}/{index}/errors"
         return self.spark.read.schema(ERRORS).parquet(path) if self._exists(path) else self.spark.createDataFrame([], ERRORS)
 
     def index_size(self, index: str) -> int:
-        return self.molecules(index).count()
+        return sum(x.rows - x.deletes for x in self._manifest(index, self._synced(index).version))
 
     def segments(self, index: str) -> DataFrame:
-        """(name, molecules, deletes, size) of each file of the current version; deletes are always 0."""
-        df = self.molecules(index)
-        out = df.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), F.col("_metadata.file_size").alias("size"))
-        return out.groupBy("name").agg(F.count("*").cast("int").alias("molecules"), F.max("size").alias("size")).select("name", "molecules", F.lit(0).alias("deletes"), "size")
-
-    def substructure_search(self, index: str, query: str, **args) -> DataFrame:
-        return search.substructure_search(self.molecules(index), query, docfreq=self.docfreq(index), **args)
-
-    def similarity_search(self, index: str, query: str, **args) -> DataFrame:
-        return search.similarity_search(self.molecules(index), query, docfreq=self.docfreq(index), **args)
+        """(name, molecules, deletes, size) of each segment of the current version: live rows, deleted ones, bytes."""
+        rows = []
+        for x in self._manifest(index, self._synced(index).version):
+            fs, p = self._fs(f"{self.root}/{index}/segments/{x.name}")
+            rows.append((x.name, x.rows - x.deletes, x.deletes, fs.getContentSummary(p).getLength()))
+        return self.spark.createDataFrame(rows, "name string, molecules int, deletes int, size long")
+
+    def substructure_search(self, index: str, query: str, cache: bool = False, **args) -> DataFrame:
+        return search.substructure_search(self.molecules(index, cache), query, docfreq=self.docfreq(index), posting=self.postings(index), **args)
+
+    def similarity_search(self, index: str, query: str, cache: bool = False, **args) -> DataFrame:
+        return search.similarity_search(self.molecules(index, cache), query, docfreq=self.docfreq(index), posting=self.postings(index), **args)
 
 
 def collapse(events: DataFrame) -> DataFrame:

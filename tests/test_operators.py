@@ -1,12 +1,14 @@
 """Index rows, searches, the versioned store, the feed and SQL functions on small tables."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from moiety import sql
 from moiety.operators import multiset, search
 from moiety.operators.prepare import document_frequency, postings, prepare, split
-from moiety.sources.index import IndexStore, balanced_merge, collapse, event_changes, snapshot_changes
+from moiety.sources.index import Conflict, IndexStore, balanced_merge, collapse, event_changes, snapshot_changes
 from moiety.sources.molecules import read_sdf, read_smiles
 from moiety.streaming.audit import feed
 from tests.test_functions import ETHANOL
@@ -125,6 +127,45 @@ def test_store(spark, table, tmp_path):
     assert store.catalog() == []
 
 
+def test_a_small_sync_rewrites_no_base_file(spark, tmp_path):
+    store = IndexStore(spark, f"file://{tmp_path}")
+    rows = spark.range(3000).select("id", F.element_at(F.array(F.lit("CCO"), F.lit("CCN"), F.lit("c1ccccc1")), (F.col("id") % 3 + 1).cast("int")).alias("molfile"))
+    store.add_index("m", "", "t", table=rows)
+    store.sync_data("m", table=rows)
+    files = {p: p.stat().st_mtime_ns for p in tmp_path.glob("m/segments/*/*/*.parquet")}
+    for k in range(10):  # ten small changes: one row replaced, one new, one deleted
+        rows = rows.withColumn("molfile", F.when(F.col("id") == k, "CCCl").otherwise(F.col("molfile"))).filter(F.col("id") != 100 + k).unionByName(spark.createDataFrame([(5000 + k, "OCCO")], "id long, molfile string"))
+        store.enqueue("m", spark.createDataFrame([(k, True), (5000 + k, False), (100 + k, True)], "compound long, delete boolean"))
+        store.sync_data("m", table=rows)
+    assert {p: p.stat().st_mtime_ns for p in tmp_path.glob("m/segments/*/*/*.parquet") if p in files} == files
+    assert store.entry("m").version == 11 and store.index_size("m") == store.molecules("m").count() == 3000
+    seg = sorted((r["molecules"], r["deletes"]) for r in store.segments("m").collect())
+    assert len(seg) <= 4 and seg[-1] == (2980, 20) and sum(n for n, _ in seg) == 3000
+    assert ids(store.substructure_search("m", "CCl")) == list(range(10)) and ids(store.substructure_search("m", "OCCO")) == [5000 + k for k in range(10)]
+    assert store.postings("m").filter("compound BETWEEN 100 AND 109").count() == 0
+    store.cleanup("m")
+    assert store.molecules("m").count() == 3000
+
+
+def test_two_writers_do_not_lose_each_other(spark, table, tmp_path):
+    a, b = IndexStore(spark, f"file://{tmp_path}"), IndexStore(spark, f"file://{tmp_path}")
+    a.add_index("one", "", "t", table=table)
+    base, entries = b._read_catalog()
+    a.add_index("two", "", "t", table=table)
+    with pytest.raises(Conflict):
+        b._write_catalog(entries, base)
+    assert [e.index_name for e in b.catalog()] == ["one", "two"]
+    # a writer that died after its claim: the old catalog stands, and a later writer goes on
+    base, entries = b._read_catalog()
+    claim = tmp_path / "catalog" / f"{base + 1:010d}.claim"
+    claim.touch()
+    with pytest.raises(Conflict):
+        b._write_catalog(entries, base)
+    os.utime(claim, (1, 1))
+    b._write_catalog(entries[:1], base)
+    assert [e.index_name for e in a.catalog()] == ["one"]
+
+
 def test_changes(spark):
     log = spark.createDataFrame([(1, "INSERT"), (2, "INSERT"), (2, "UPDATE"), (3, "DELETE"), (4, "VIEW")], "compound long, kind string")
     assert sorted(map(tuple, collapse(event_changes(log)).collect())) == [(1, False), (2, True), (3, True)]
