@@ -85,9 +85,8 @@ def variants(text: str, modes: Modes = Modes(), aromaticity: str = "AUTO", tauto
                 try:
                     perceive_stereo(f)
                 except (ArithmeticError, LookupError, ValueError) as e:
-                    warnings.warn(f"stereo is left out: {e}", stacklevel=2)
-                    _plain(f)
-                    m = Modes(modes.search, modes.charge, modes.isotope, modes.radical, "IGNORE")
+                    warnings.warn(f"stereo and tautomers are left out: {e}", stacklevel=2)
+                    return variants(text, Modes(modes.search, modes.charge, modes.isotope, modes.radical, "IGNORE"), aromaticity, "IGNORE", similarity)
             else:
                 _plain(f)
             cover: dict[int, set[int]] = {}

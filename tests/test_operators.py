@@ -219,6 +219,57 @@ def test_sql(spark, molecules):
     assert row["a"] == 0.5 and row["b"] is None and row["n"] == 6
 
 
+def test_sql_arguments_equal_the_python_search(spark, molecules):
+    sql.register(spark, molecules)
+    key = lambda df: sorted((r["compound"], r["score"]) for r in df.collect())
+    cases = [
+        ("OC(=O)[C@H](C)N", {"stereo": "STRICT"}),
+        ("OC(=O)[C@@H](C)N", {"stereo": "STRICT"}),
+        ("CC(O)=O", {"tautomer": "INCHI"}),
+        ("C1=CC=CC=C1", {"aromaticity": "PRESERVE"}),
+        ("CN", {"charge": "DEFAULT_AS_UNCHARGED", "isotope": "DEFAULT_AS_STANDARD", "radical": "DEFAULT_AS_STANDARD"}),
+        ("CO", {"search": "EXACT"}),
+        ("CO", {"topn": 2}),
+        ("CO", {"topn": 0}),
+        ("CO", {"limit": 2}),
+    ]
+    for query, args in cases:
+        named = "".join(f", {k} => {v if isinstance(v, int) else repr(v)}" for k, v in args.items())
+        assert key(spark.sql(f"SELECT * FROM substructure_search('{query}'{named})")) == key(search.substructure_search(molecules, query, **args)), (query, args)
+    assert key(spark.sql("SELECT * FROM similarity_search('CCO', 0.2, 2, 'AUTO', 'IGNORE', 3)")) == key(search.similarity_search(molecules, "CCO", 0.2, 2, topn=3))
+    best = [r["score"] for r in spark.sql("SELECT * FROM substructure_search('CO', sort => TRUE)").collect()]
+    assert best == sorted(best, reverse=True) and len(best) == 5
+    assert spark.sql("SELECT * FROM substructure_search(NULL)").count() == 0
+    got = spark.sql("SELECT q.q, r.compound FROM VALUES ('CN'), ('CO') q(q), LATERAL substructure_search(q.q, topn => 1) r")
+    assert sorted(map(tuple, got.collect())) == [("CN", 2), ("CO", 1)]
+
+
+def test_sql_over_a_stored_index(spark, table, tmp_path):
+    store = IndexStore(spark, f"file://{tmp_path}")
+    store.add_index("stored", "", "t", table=table)
+    store.sync_data("stored", table=table)
+    sql.register_index(store, "stored")
+    assert spark.sql("SELECT index_size() AS n").first()["n"] == 6
+    assert spark.sql("SELECT sum(molecules) AS n, sum(deletes) AS d FROM stored_segments").first() == (6, 0)
+    assert ids(spark.sql("SELECT * FROM substructure_search('CN')")) == [2, 7]
+
+
+def test_out_of_budget_rows_follow_the_hits(molecules):
+    got = search.substructure_top(molecules, "CCO", 10, limit=3).collect()
+    late = [r["timed_out"] for r in got]
+    assert late == sorted(late) and any(late) and all(r["score"] == 0 for r in got if r["timed_out"])
+
+
+def test_sd_items(spark, tmp_path):
+    """Several lines, repeated keys, Windows line ends."""
+    item = "> <A>\n1\n\n> <A>\n2\n\n> <B> (7)\n3\nthree\n\n"
+    for end in ("\n", "\r\n"):
+        path = tmp_path / f"x{len(end)}.sdf"
+        path.write_bytes(((ETHANOL + item + "$$$$\n") * 2).replace("\n", end).encode())
+        rows = read_sdf(spark, str(path), end).collect()
+        assert [r["data"] for r in rows] == [{"A": "1", "B": "3\nthree"}] * 2 and all("\r" not in r["molfile"] for r in rows)
+
+
 def test_batched(molecules):
     got = search.batched_substructure(molecules, {1: "CO", 2: "CN"}, k=1)
     assert sorted((r["query_id"], r["compound"]) for r in got.collect()) == [(1, 1), (2, 2)]
