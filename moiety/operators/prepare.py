@@ -36,7 +36,8 @@ REMEMBER = 10_000
 def prepare(table: DataFrame, id_column: str = "id", structure_column: str = "molfile") -> DataFrame:
     """Index rows plus ``message``: null for a clean row; with null atoms the row failed.
 
-    Reading a structure takes milliseconds, so rows are first spread over all tasks, however few files they come from.
+    Reading a structure takes milliseconds, so rows are first spread over all tasks, however few files they come
+    from; rows of one text go to two of them.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -59,7 +60,8 @@ def prepare(table: DataFrame, id_column: str = "id", structure_column: str = "mo
 
     spark = table.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return table.select(F.col(id_column).cast("long"), F.col(structure_column).cast("string")).repartition(tasks).mapInArrow(step, ddl)
+    rows = table.select(F.col(id_column).cast("long").alias("compound"), F.col(structure_column).cast("string").alias("structure"))
+    return rows.repartition(tasks, "structure", F.pmod(F.col("compound"), F.lit(2))).mapInArrow(step, ddl)
 
 
 def split(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:

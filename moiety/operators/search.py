@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moiety.functions import structures
-from moiety.functions.matching import LimitExceeded, Modes, Query
+from moiety.functions.matching import LimitExceeded, Modes, Query, all_matches
 from moiety.operators import multiset
 from moiety.operators.prepare import holders_of_all, holders_of_any
 from moiety.operators.rows import SIZES, to_graph
@@ -106,6 +106,21 @@ def verify(candidates: DataFrame, query: Query, limit: int = 0) -> DataFrame:
     return candidates.select("compound", "n_heavy", "n_hyd", "n_xbond", "n_hbond", "atoms", "bonds", "sgroups").mapInArrow(step, ddl)
 
 
+def count_matches(molecules: DataFrame, query: str, most: int = 256, screen: bool = True) -> DataFrame:
+    """(compound, n): distinct atom sets that the query maps to, ``most`` at most (256 as the fingerprints count)."""
+    (v, *_), ddl = structures.variants(query), "compound long, n long"
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(all_matches(v.graph, to_graph(a, b, s), most)) for a, b, s in zip(*(batch.column(c).to_pylist() for c in ("atoms", "bonds", "sgroups")))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["compound", "n"])
+
+    found = molecules.filter(size_filter(v.query))
+    if screen and v.bits:
+        found = found.filter(bits_filter(choose_bits(v.bits, v.cover, {}, len(v.graph.atoms))))
+    return found.select("compound", "atoms", "bonds", "sgroups").mapInArrow(step, ddl)
+
+
 def ordered(hits: DataFrame, topn: int = -1, sort: bool = False) -> DataFrame:
     """topn > 0: the best n; 0: none; negative: all, ordered by score then compound if ``sort``."""
     if topn == 0:

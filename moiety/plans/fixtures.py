@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moiety.operators.prepare import postings
 from moiety.operators.rows import SGROUPS
 
 #: Order graphs: atoms are line numbers, elements come from flags, bonds join consecutive lines; even orders of three lines and more are rings.
@@ -16,18 +17,18 @@ G = """
 WITH atom AS (
   SELECT l_orderkey AS gid, l_linenumber AS ln, MIN(l_partkey) AS pk, MIN(CONCAT(l_returnflag, l_linestatus)) AS fl
   FROM lineitem GROUP BY l_orderkey, l_linenumber),
-a AS (
+a AS MATERIALIZED (
   SELECT gid, CAST(ROW_NUMBER() OVER (PARTITION BY gid ORDER BY ln) - 1 AS INT) AS idx, pk,
          CAST(CASE fl WHEN 'AF' THEN 6 WHEN 'AO' THEN 7 WHEN 'NF' THEN 8 WHEN 'NO' THEN 16 WHEN 'RF' THEN 9 ELSE 17 END AS INT) AS z,
          CAST(COUNT(*) OVER (PARTITION BY gid) AS INT) AS n
   FROM atom),
-b AS (
+b AS MATERIALIZED (
   SELECT x.gid, x.idx AS i, y.idx AS j, CAST(1 + x.pk % 3 AS INT) AS t
   FROM a x JOIN a y ON x.gid = y.gid AND y.idx = x.idx + 1
   UNION ALL
   SELECT x.gid, x.idx, y.idx, CAST(1 + x.pk % 3 AS INT)
   FROM a x JOIN a y ON x.gid = y.gid AND y.idx = 0 WHERE x.idx = x.n - 1 AND x.n >= 3 AND x.gid % 2 = 0),
-e AS (SELECT gid, i, j, t FROM b UNION ALL SELECT gid, j, i, t FROM b),
+e AS MATERIALIZED (SELECT gid, i, j, t FROM b UNION ALL SELECT gid, j, i, t FROM b),
 sz AS (SELECT gid, COUNT(*) AS n_atoms FROM a GROUP BY gid),
 sb AS (SELECT gid, COUNT(*) AS n_bonds FROM b GROUP BY gid)
 """
@@ -87,6 +88,16 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("lvl"), F.explode(F.split("text", " ")).alias("bit"))
 
 
+def word_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as index rows whose bits are words: compound, sub_bits, sim_levels (one level)."""
+    words = F.split("text", " ")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("compound"), words.alias("sub_bits"), F.array(words).alias("sim_levels"))
+
+
+def word_postings(spark: SparkSession, d: str) -> DataFrame:
+    return postings(word_rows(spark, d))
+
+
 def changes(spark: SparkSession, d: str) -> DataFrame:
     """The events table as a change log (event_id, compound, kind)."""
     kind = F.when(F.col("event_type") == "signup", "INSERT").when(F.col("event_type").isin("purchase", "click"), "UPDATE").when(F.col("event_type") == "error", "DELETE")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moiety.functions.graph import ANY, Atom, Bond, Graph
 from moiety.functions.hashing import fold_columns
 from moiety.functions.matching import Modes, Query
 from moiety.operators import graphjoin, multiset, search
+from moiety.operators import prepare as prepare_
 from moiety.operators.prepare import document_frequency, postings, prepare, split
 from moiety.plans import fixtures as X
 from moiety.sources.index import collapse, event_changes
@@ -176,7 +177,7 @@ def difference(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a2_document_frequency", X.T + "SELECT bit, COUNT(*) AS df FROM c GROUP BY bit")
 def document_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    return multiset.counted(X.tokens(spark, d)).groupBy("bit").agg(F.count("*").alias("df"))
+    return document_frequency(X.word_postings(spark, d).filter("field = 'sub'")).select("bit", "df")
 
 
 @query("a5_feature_histogram", X.T + "SELECT CAST(doc_id AS BIGINT) AS compound, bit, n FROM c")
@@ -188,8 +189,7 @@ def histogram(spark: SparkSession, d: str) -> DataFrame:
 def cumulative_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Running sizes over levels; here a token's level is its length in bytes modulo 4."""
     t = X.tokens(spark, d).withColumn("lvl", (F.octet_length("bit") % 4).cast("int"))
-    n = t.groupBy("id", "lvl").agg(F.count("*").alias("n"))
-    return n.select(F.col("id").alias("compound"), "lvl", F.sum("n").over(Window.partitionBy("id").orderBy("lvl")).alias("size"))
+    return prepare_.cumulative_sizes(t.groupBy("id", "lvl").agg(F.count("*").alias("n"))).withColumnRenamed("id", "compound")
 
 
 @query("s9_size_range", X.T + "SELECT CAST(doc_id AS BIGINT) AS compound, CAST(sz AS BIGINT) AS size FROM sz WHERE sz BETWEEN (SELECT floor(sz * 0.85) FROM sz WHERE doc_id = 0) AND (SELECT ceil(sz / 0.85) FROM sz WHERE doc_id = 0)")
@@ -206,39 +206,33 @@ _WORDS = ("the", "of", "and")
 @query("p11_all_bits", X.T + f"SELECT CAST(doc_id AS BIGINT) AS compound FROM c WHERE bit IN {_WORDS} GROUP BY doc_id HAVING COUNT(*) = 3")
 def all_bits(spark: SparkSession, d: str) -> DataFrame:
     """Conjunction as a filter on stored arrays: no shuffle."""
-    bits = F.split("text", " ")
-    c = F.lit(True)
-    for w in _WORDS:
-        c = c & F.array_contains(bits, w)
-    return X.table(spark, d, "documents").filter(c).select(F.col("doc_id").alias("compound"))
+    return X.word_rows(spark, d).filter(search.bits_filter(list(_WORDS))).select("compound")
 
 
 @query("j2_posting_conjunction", X.T + f"SELECT CAST(doc_id AS BIGINT) AS compound FROM c WHERE bit IN {_WORDS} GROUP BY doc_id HAVING COUNT(*) = 3")
 def posting_conjunction(spark: SparkSession, d: str) -> DataFrame:
     """Conjunction over posting rows."""
-    p = X.tokens(spark, d).filter(F.col("bit").isin(*_WORDS)).select("id", "bit").distinct()
-    return p.groupBy(F.col("id").alias("compound")).agg(F.count("*").alias("n")).filter("n = 3").select("compound")
+    return prepare_.holders_of_all(X.word_postings(spark, d), "sub", list(_WORDS))
 
 
 @query("s7_posting_scan", X.T + "SELECT CAST(doc_id AS BIGINT) AS compound, bit FROM c WHERE bit = 'the'")
 def posting_scan(spark: SparkSession, d: str) -> DataFrame:
-    return X.tokens(spark, d).filter("bit = 'the'").select(F.col("id").alias("compound"), "bit").distinct()
+    return prepare_.posting_scan(X.word_postings(spark, d), "sub", ["the"]).select("compound", "bit")
 
 
 @query("s14_bit_stream", X.T + "SELECT CAST(doc_id AS BIGINT) AS compound, bit FROM c")
 def bit_stream(spark: SparkSession, d: str) -> DataFrame:
-    return X.table(spark, d, "documents").select(F.col("doc_id").alias("compound"), F.explode(F.array_distinct(F.split("text", " "))).alias("bit"))
+    return X.word_postings(spark, d).filter("field = 'sub'").select("compound", "bit")
 
 
 @query("p12_any_bit_in_window", X.T + f"SELECT CAST(s.doc_id AS BIGINT) AS compound FROM sz s WHERE s.sz BETWEEN 50 AND 500 AND EXISTS (SELECT 1 FROM c WHERE c.doc_id = s.doc_id AND c.bit IN {_WORDS})")
 def any_bit(spark: SparkSession, d: str) -> DataFrame:
-    bits = F.split("text", " ")
-    return X.table(spark, d, "documents").filter(F.size(bits).between(50, 500) & F.arrays_overlap(bits, F.array(*[F.lit(w) for w in _WORDS]))).select(F.col("doc_id").alias("compound"))
+    return X.word_rows(spark, d).filter(F.size("sub_bits").between(50, 500) & search.any_bit_filter(list(_WORDS), F.col("sub_bits"))).select("compound")
 
 
 @query("u2_level_union", X.T + "SELECT CAST(doc_id AS BIGINT) AS compound, COUNT(DISTINCT bit) AS n_bits FROM c GROUP BY doc_id")
 def level_union(spark: SparkSession, d: str) -> DataFrame:
-    return X.table(spark, d, "documents").select(F.col("doc_id").alias("compound"), F.size(F.array_distinct(F.split("text", " "))).cast("long").alias("n_bits"))
+    return X.word_rows(spark, d).select("compound", F.size(prepare_.level_union("sim_levels")).cast("long").alias("n_bits"))
 
 
 @query("a1_best_variant", X.T + """, q AS (SELECT doc_id AS v, lvl, bit, n FROM c WHERE doc_id IN (0, 1, 2)),
@@ -362,20 +356,6 @@ for _name, (_run, _sql) in {
     query(_name, _sql)(_run)
 
 
-@query("q_sim_molecules", f"SELECT p_partkey AS compound, CAST(1 AS FLOAT) AS score FROM part WHERE p_partkey % {_N} IN ({X.MOLECULES.index('CCO')}) UNION ALL SELECT p_partkey AS compound, CAST(CAST(3 AS DOUBLE) / (6 + 6 - 3) AS FLOAT) AS score FROM part WHERE p_partkey % {_N} IN ({X.MOLECULES.index('CCN')})" + f" UNION ALL SELECT p_partkey, CAST(CAST(3 AS DOUBLE) / (6 + 6 - 3) AS FLOAT) FROM part WHERE p_partkey % {_N} IN ({X.MOLECULES.index('CCCl')})")
-def similar_molecules(spark: SparkSession, d: str) -> DataFrame:
-    """Ethanol against all at radius 1, by hand: ethylamine and chloroethane share 3 of 9 descriptors."""
-    hits = search.similarity_search(_index(spark, d), "CCO", threshold=0.3)
-    keep = F.array(*[F.lit(X.MOLECULES.index(x)) for x in ("CCO", "CCN", "CCCl")])
-    return hits.filter(F.array_contains(keep, (F.col("compound") % _N).cast("int")))
-
-
-@query("q_pair", f"SELECT p_partkey AS compound, CAST(CASE WHEN p_partkey % {_N} = {X.MOLECULES.index('CCO')} THEN 1 ELSE CAST(2 AS DOUBLE) / 4 END AS FLOAT) AS score FROM part WHERE p_partkey % {_N} IN {_at('CCO', 'CCN')}")
-def pair(spark: SparkSession, d: str) -> DataFrame:
-    m = X.molecules(spark, d).filter((F.col("id") % _N).isin(X.MOLECULES.index("CCO"), X.MOLECULES.index("CCN")))
-    return m.select(F.col("id").cast("long").alias("compound"), search.similarity(F.col("molfile"), F.lit("CCO")).alias("score"))
-
-
 #: (heavy atoms, carbons, oxygens) of every readable structure, and how many circular descriptors of radius 0 and 1 it has
 #: and shares with ethanol; counted by hand. Ethanol has C, C, O and C(-C), C(-C, -O), O(-C).
 _ATOMS = {
@@ -396,18 +376,18 @@ def _values(rows: dict[str, tuple]) -> str:
 
 @query("q_sim_molecules_all", f"SELECT p_partkey AS compound, CAST(CAST(shared AS DOUBLE) / (6 + n - shared) AS FLOAT) AS score FROM part JOIN (VALUES {_values(_SHARED)}) v(k, n, shared) ON p_partkey % {_N} = k WHERE shared >= 0.3 * (6 + n - shared)")
 def similar_molecules_all(spark: SparkSession, d: str) -> DataFrame:
-    """Ethanol against all at radius 1, every hit; ``similar_molecules`` keeps the hits of three structures."""
+    """Ethanol against all at radius 1, every hit."""
     return search.similarity_search(_index(spark, d), "CCO", threshold=0.3)
 
 
 @query("q_pair_all", f"""SELECT p_partkey AS compound, CAST(CAST(shared AS DOUBLE) / (3 + n - shared) AS FLOAT) AS score
   FROM part LEFT JOIN (SELECT k, n, least(c, 2) + least(o, 1) AS shared FROM (VALUES {_values(_ATOMS)}) v(k, n, c, o)) ON p_partkey % {_N} = k""")
 def pair_all(spark: SparkSession, d: str) -> DataFrame:
-    """Each row's structure with ethanol, null for the unreadable one; ``pair`` has the rows of two structures."""
+    """Each row's structure with ethanol, null for the unreadable one."""
     return X.molecules(spark, d).select(F.col("id").cast("long").alias("compound"), search.similarity(F.col("molfile"), F.lit("CCO")).alias("score"))
 
 
-@query("fp6_screening")
+@query("fp6_screening", f"SELECT p_partkey AS compound, TRUE AS screened, TRUE AS \"all\" FROM part WHERE p_partkey % {_N} IN {_at('c1ccccc1', 'C1=CC=CC=C1', 'c1ccc2ccccc2c1', 'Oc1ccccc1')}")
 def screening(spark: SparkSession, d: str) -> DataFrame:
     """Candidates with screening bits, against all that match: none may be lost."""
     m = _index(spark, d).cache()
@@ -425,3 +405,9 @@ def index_rows(spark: SparkSession, d: str) -> DataFrame:
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Similarity search over the molecule table."""
     return search.similarity_search(_index(spark, d), "CCO", threshold=0.3, sort=True)
+
+
+from moiety.plans import generated  # noqa: E402
+
+QUERIES |= generated.QUERIES
+ORACLE |= generated.ORACLE
