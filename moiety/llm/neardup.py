@@ -9,7 +9,8 @@
 3. Bands of the signatures make buckets of classes. A class is first compared with the one pivot
    (the least of a bucket) that it meets in most buckets; found links are joined.
 4. Buckets whose members are then in different components are settled exactly, each by itself
-   (of buckets with equal members one stays): small ones share tasks, a large one's members go in
+   (of buckets with equal members one stays): small ones share tasks (without members that meet no
+   set of another component near enough in size), a large one's members go in
    blocks of bounded size to tasks, and a task compares every two of different components. Pairs
    of blocks of one component are left out, as no link there can change a component.
 5. Links of 3 and 4 are joined by union-find.
@@ -26,11 +27,12 @@ Other columns stay as they are in ``filter_duplicates`` and are not read else.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moiety.llm import textkernel as tk
@@ -209,11 +211,11 @@ def _classes(docs: DataFrame, words: int, percent: int, registers: int, rows: in
     small_batches(docs.sparkSession)
     sig = cut(signatures(docs, words, registers, rows))
     real = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"))
     twice = classes.groupBy("rep").agg(F.min(F.struct("d1", "d2")).alias("head"), F.count("*").alias("n")).filter("n > 1").select("rep", "head")
     beyond = F.lit(2**63 - 1) - F.xxhash64("d1", "d2").bitwiseAND(F.lit(2**61 - 1))
     classes = classes.join(twice, "rep", "left")
-    classes = cut(classes.select("d1", "d2", "rep", F.when(F.col("head").isNull() | (F.struct("d1", "d2") == F.col("head")), F.col("rep")).otherwise(beyond).alias("node")))
+    classes = cut(classes.select("d1", "d2", "rep", F.col("size").alias("n"), F.when(F.col("head").isNull() | (F.struct("d1", "d2") == F.col("head")), F.col("rep")).otherwise(beyond).alias("node")))
     reps = real.join(classes, ["d1", "d2"]).filter("doc_id = rep").select("d1", "d2", "node", "bands").dropDuplicates(["d1", "d2"])
     band = reps.select("node", F.posexplode("bands").alias("band", "key"))
     pivots = band.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -225,22 +227,31 @@ def _classes(docs: DataFrame, words: int, percent: int, registers: int, rows: in
     pairs = pairs.groupBy("node").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("x")).select(F.col("node").alias("u"), (-F.col("x.p")).alias("v"))
     a, b = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
     links = cut(pairs.join(a, "u").join(b, "v").select("u", "v", "text_u", "text_v").mapInArrow(_check_pairs(words, percent), "u long, v long"))
-    if by_id:
+    if by_id and not repeated.isEmpty():
         own = real.join(classes, ["d1", "d2"]).groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("w")).filter("u <> w").select("doc_id", "u")
         links = links.unionByName(real.join(classes, ["d1", "d2"]).join(own, "doc_id").select("u", F.col("node").alias("v")).filter("u <> v").distinct())
     comp = cut(components(links))
 
     member = bucket.join(comp, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
-    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").bitwiseAND(F.lit(2**40 - 1))).alias("s"), F.expr("bit_xor(xxhash64(node, 1L))").alias("x")).filter("lo < hi")
+    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").bitwiseAND(F.lit(2**40 - 1))).alias("s"), F.expr("bit_xor(xxhash64(node, 1L))").alias("x"), F.min("node").alias("head")).filter("lo < hi")
     # buckets of equal members (near copies meet in many) are settled once
-    mixed = mixed.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", F.col("n").alias("members"))
-    rest = cut(member.join(mixed, "key").select("node", "component", "key", "members"))
+    mixed = mixed.groupBy("n", "s", "x", "head").agg(F.min("key").alias("key")).select("key", "head", F.col("n").alias("members"))
+    rest = member.join(mixed, "key").join(classes.select("node", "n"), "node").select("node", "component", "key", "head", "members", "n")
+    # in a small bucket, only those meet that another component's set of a size near enough may be linked with
+    near = Window.partitionBy("key").orderBy("size").rangeBetween(-_reach(percent), _reach(percent))
+    few = rest.filter(F.col("members") <= BLOCK_DOCS // 2).withColumn("size", F.floor(F.ln("n") * 1e6).cast("long")).withColumn("lo", F.min("component").over(near)).withColumn("hi", F.max("component").over(near))
+    rest = cut(few.filter("lo < hi").select(rest.columns).unionByName(rest.filter(F.col("members") > BLOCK_DOCS // 2)))
     if not rest.isEmpty():
         comp = components(links.unionByName(_settle(rest, texts, words, percent)))
     comp = cut(comp)
     return sig, classes.join(comp, "node", "left").select("d1", "d2", "rep", "node", F.coalesce("component", "node").alias("component")), repeated
 
 
+def _reach(percent: int) -> int:
+    """How far apart the logarithms of two linked sets' sizes can be, in millionths; a little more, for rounding."""
+    return int(math.log(100 / percent) * 1e6) + 3
+
+
 def _repeated(sig: DataFrame) -> DataFrame:
     """doc_ids on more than one row: as a rule none."""
     return cut(sig.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
@@ -263,11 +274,11 @@ def _digest_rows(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, classes: DataFrame, repeated: DataFrame, words: int) -> DataFrame:
-    """(node, text): one text of each class, that of its least doc_id."""
+    """(node, text): one text of each class, that of its least doc_id; there may be texts of no node."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if repeated.isEmpty():  # then a node is its class's doc_id, and no join is due
+        return texts.withColumnRenamed("doc_id", "node")
     named = classes.select(F.col("rep").alias("doc_id"), "node", F.col("d1").alias("_d1"), F.col("d2").alias("_d2"))
-    if repeated.isEmpty():
-        return texts.join(named, "doc_id").select("node", "text")
     single = texts.join(repeated, "doc_id", "left_anti").join(named, "doc_id").select("node", "text")
     own = _digest_rows(texts.join(repeated, "doc_id", "left_semi"), words)
     return single.unionByName(own.join(named, ["doc_id", "_d1", "_d2"]).select("node", "text").dropDuplicates(["node"]))
@@ -282,12 +293,12 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80, registers: int = R
 
 
 def _settle(rest: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Exact links between components within each of the buckets of ``rest`` (node, component, key, members)."""
+    """Exact links between components within each of the buckets of ``rest`` (node, component, key, head, members)."""
     few = F.col("members") <= BLOCK_DOCS // 2
     shared = rest.filter(few).agg(F.count("*")).first()[0]
     tasks = max(1, -(-shared // BLOCK_DOCS))
-    # small buckets: some of them to a task, whole
-    alone = rest.filter(few).select(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task"), "node", "component").distinct()
+    # small buckets: some of them to a task, whole; those of one least member together, so that texts travel seldom
+    alone = rest.filter(few).select(F.pmod(F.xxhash64("head"), F.lit(tasks)).alias("task"), "node", "component").distinct()
     # large ones: blocks of one component, and blocks of small components; pairs of blocks are tasks
     m = rest.filter(~few).select("key", "node", "component")
     sizes = m.groupBy("key", "component").agg(F.count("*").alias("n"))
