@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from moiety.llm import decontaminate, langid, neardup, packing, toxicity
-from moiety.llm.cluster import folder
+from moiety.llm.cluster import drop, folder
 
 #: SQL cannot express the classifiers; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -45,9 +45,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:  # no one reads it any more
+            drop(spark, before)
+        before, docs = path, spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
