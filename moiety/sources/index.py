@@ -25,7 +25,8 @@ from moiety.operators.rows import SCHEMA
 from moiety.operators.prepare import clustered, document_frequency, postings, prepare, split
 
 _NAME = re.compile(r"^[a-zA-Z0-9_]+$")
-ROWS_PER_FILE = 500_000
+#: Rows of a file, some tens of MB: what one task of a search reads and verifies.
+ROWS_PER_FILE = 5_000
 #: Seconds after which a claim on a catalog number that led to no catalog is given up.
 STALE = 60
 POSTINGS, DOCFREQ = "field string, bit int, compound long", "field string, bit int, df long"
