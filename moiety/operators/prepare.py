@@ -15,7 +15,7 @@ from moiety.functions.structures import stored
 from moiety.operators.rows import COLUMNS, SCHEMA, from_graph
 
 
-def index_row(compound: int, text: str) -> dict:
+def index_row(compound: int | str, text: str) -> dict:
     """One row of the index, with ``message`` (a warning, or the error where atoms is None)."""
     empty = dict.fromkeys(COLUMNS) | {"compound": compound, "message": None}
     try:
@@ -29,39 +29,46 @@ def index_row(compound: int, text: str) -> dict:
         return empty | {"message": str(e) or type(e).__name__}
 
 
-#: Structures that a task remembers, so that repeated texts are read once.
-REMEMBER = 10_000
+def distinct(table: DataFrame, id_column: str = "id", structure_column: str = "molfile") -> tuple[DataFrame, DataFrame]:
+    """Each text once as (compound, structure), where compound is its digest, and the members (row, compound) of each."""
+    text = F.col(structure_column).cast("string")
+    rows = table.select(F.coalesce(F.sha2(text, 256), F.lit("")).alias("row"), F.col(id_column).cast("long").alias("compound"), text.alias("structure"))
+    return rows.select(F.col("row").alias("compound"), "structure").distinct(), rows.select("row", "compound")
 
 
-def prepare(table: DataFrame, id_column: str = "id", structure_column: str = "molfile") -> DataFrame:
-    """Index rows plus ``message``: null for a clean row; with null atoms the row failed.
+def each(found: DataFrame, members: DataFrame | None) -> DataFrame:
+    """Rows found by the number of a row (as ``compound``), for every one of its ``members`` (row, compound)."""
+    if members is None:
+        return found
+    return found.withColumnRenamed("compound", "row").join(members, "row").select(*found.columns)
+
 
-    Reading a structure takes milliseconds, so rows are first spread over all tasks, however few files they come
-    from; rows of one text go to two of them.
+def parse(texts: DataFrame) -> DataFrame:
+    """Index rows plus ``message`` of (compound, structure): null for a clean row; with null atoms the row failed.
+
+    Reading a structure takes milliseconds, so rows are first spread over all tasks, however few files they come from.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    ddl = f"{SCHEMA}, message string"
+    ddl = f"{SCHEMA}, message string".replace("compound long", f"compound {texts.schema['compound'].dataType.simpleString()}")
     schema = to_arrow_schema(_parse_datatype_string(ddl))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # index rows are large
-                own, rows = batch.slice(at, 500), []
-                for i, t in zip(own.column(0).to_pylist(), own.column(1).to_pylist()):
-                    if t not in known:
-                        if len(known) >= REMEMBER:
-                            known.clear()
-                        known[t] = index_row(i, t)
-                    rows.append(known[t] | {"compound": i})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    spark = table.sparkSession
+                own = batch.slice(at, 500)
+                yield pa.RecordBatch.from_pylist([index_row(*x) for x in zip(own.column(0).to_pylist(), own.column(1).to_pylist())], schema=schema)
+
+    spark = texts.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = table.select(F.col(id_column).cast("long").alias("compound"), F.col(structure_column).cast("string").alias("structure"))
-    return rows.repartition(tasks, "structure", F.pmod(F.col("compound"), F.lit(2))).mapInArrow(step, ddl)
+    return texts.select("compound", "structure").repartition(tasks, "compound").mapInArrow(step, ddl)
+
+
+def prepare(table: DataFrame, id_column: str = "id", structure_column: str = "molfile") -> DataFrame:
+    """``parse`` of every row of a table; each text is read once."""
+    texts, members = distinct(table, id_column, structure_column)
+    return each(parse(texts), members)
 
 
 def split(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,11 +76,11 @@ def split(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prepared.filter(F.col("atoms").isNotNull()).drop("message"), prepared.filter(F.col("message").isNotNull()).select("compound", "message")
 
 
-def postings(rows: DataFrame, id_column: str = "compound") -> DataFrame:
-    """(field, bit, compound): one row per distinct bit of ``sub_bits``, and of ``sim_levels`` over all levels."""
-    c = F.col(id_column).alias("compound")
-    sub = rows.select(F.lit("sub").alias("field"), F.explode(F.array_distinct("sub_bits")).alias("bit"), c)
-    sim = rows.select(F.lit("sim").alias("field"), F.explode(level_union("sim_levels")).alias("bit"), c)
+def postings(rows: DataFrame, id_column: str = "compound", with_column: str | None = None) -> DataFrame:
+    """(field, bit, compound): one row per distinct bit of ``sub_bits``, and of ``sim_levels`` over all levels; and one more column."""
+    c = [F.col(id_column).alias("compound"), *([F.col(with_column)] if with_column else [])]
+    sub = rows.select(F.lit("sub").alias("field"), F.explode(F.array_distinct("sub_bits")).alias("bit"), *c)
+    sim = rows.select(F.lit("sim").alias("field"), F.explode(level_union("sim_levels")).alias("bit"), *c)
     return sub.unionByName(sim)
 
 

@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from moiety.functions import structures
 from moiety.functions.matching import LimitExceeded, Modes, Query, all_matches
 from moiety.operators import multiset
-from moiety.operators.prepare import holders_of_all, holders_of_any
+from moiety.operators.prepare import each, holders_of_all, holders_of_any
 from moiety.operators.rows import SIZES, to_graph
 
 MOST_BITS, COVERAGE = 32, 2
 #: Bits of a query that are looked up in the postings.
 RARE = 3
+#: Rows that are Python objects at a time; Arrow batches hold many more.
+AT_ONCE = 500
 _TINY = 1.401298464324817e-45  # the least positive 32-bit value
 
 
@@ -85,12 +87,22 @@ def score_column(q: tuple[int, int, int, int]) -> Column:
     return F.greatest(s.cast("float"), F.lit(_TINY).cast("float"))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
+
+
+def _id_type(rows: DataFrame) -> str:
+    return rows.schema["compound"].dataType.simpleString()
+
+
 def verify(candidates: DataFrame, query: Query, limit: int = 0) -> DataFrame:
     """Rows that match, and those whose comparison ran out of its budget (``timed_out``)."""
-    ddl = f"compound long, {SIZES}, timed_out boolean"
+    ddl = f"compound {_id_type(candidates)}, {SIZES}, timed_out boolean"
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep, late = [], []
             for i, (a, b, s) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("atoms", "bonds", "sgroups")))):
                 try:
@@ -108,10 +120,10 @@ def verify(candidates: DataFrame, query: Query, limit: int = 0) -> DataFrame:
 
 def count_matches(molecules: DataFrame, query: str, most: int = 256, screen: bool = True) -> DataFrame:
     """(compound, n): distinct atom sets that the query maps to, ``most`` at most (256 as the fingerprints count)."""
-    (v, *_), ddl = structures.variants(query), "compound long, n long"
+    (v, *_), ddl = structures.variants(query), f"compound {_id_type(molecules)}, n long"
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n = [len(all_matches(v.graph, to_graph(a, b, s), most)) for a, b, s in zip(*(batch.column(c).to_pylist() for c in ("atoms", "bonds", "sgroups")))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["compound", "n"])
 
@@ -130,10 +142,11 @@ def ordered(hits: DataFrame, topn: int = -1, sort: bool = False) -> DataFrame:
     return hits.orderBy(F.desc("score"), "compound").limit(topn)
 
 
-def substructure_hits(molecules: DataFrame, query: str, search: str = "SUBSTRUCTURE", charge: str = "DEFAULT_AS_ANY", isotope: str = "IGNORE", radical: str = "IGNORE", stereo: str = "IGNORE", aromaticity: str = "AUTO", tautomer: str = "IGNORE", limit: int = 0, docfreq: DataFrame | None = None, screen: bool = True, posting: DataFrame | None = None) -> DataFrame:
+def substructure_hits(molecules: DataFrame, query: str, search: str = "SUBSTRUCTURE", charge: str = "DEFAULT_AS_ANY", isotope: str = "IGNORE", radical: str = "IGNORE", stereo: str = "IGNORE", aromaticity: str = "AUTO", tautomer: str = "IGNORE", limit: int = 0, docfreq: DataFrame | None = None, screen: bool = True, posting: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
     """(compound, score, timed_out), the best score over the query's variants.
 
     With ``posting``, the rarest RARE bits are looked up there first; all others are compared with the stored arrays.
+    With ``members`` (row, compound), ``molecules`` and ``posting`` are of distinct rows, and their members are returned.
     """
     modes = Modes(search, charge, isotope, radical, stereo)
     parts = []
@@ -153,14 +166,14 @@ def substructure_hits(molecules: DataFrame, query: str, search: str = "SUBSTRUCT
         out = out.unionByName(p)
     if len(parts) > 1:
         out = out.groupBy("compound").agg(F.max(F.when(~F.col("timed_out"), F.col("score"))).alias("s"), F.max("score").alias("m")).select("compound", F.coalesce("s", "m").alias("score"), F.col("s").isNull().alias("timed_out"))
-    return out
+    return each(out, members)
 
 
 def substructure_search(molecules: DataFrame, query: str, topn: int = -1, sort: bool = False, **modes) -> DataFrame:
     """(compound, score). Null arguments give no rows. Comparisons out of budget are left out
     (``substructure_hits`` lists them)."""
-    if query is None or None in modes.values() and any(v is None for k, v in modes.items() if k not in ("docfreq", "posting")):
-        return molecules.select("compound", F.lit(0.0).cast("float").alias("score")).limit(0)
+    if query is None or None in modes.values() and any(v is None for k, v in modes.items() if k not in ("docfreq", "posting", "members")):
+        return each(molecules.select("compound", F.lit(0.0).cast("float").alias("score")), modes.get("members")).limit(0)
     hits = substructure_hits(molecules, query, **modes)
     return ordered(hits.filter(~F.col("timed_out")).select("compound", "score"), topn, sort)
 
@@ -171,14 +184,14 @@ def substructure_top(molecules: DataFrame, query: str, topn: int, **modes) -> Da
     return ordered(hits, max(0, topn))
 
 
-def similarity_search(molecules: DataFrame, query: str, threshold: float = 0.85, radius: int = 1, aromaticity: str = "AUTO", tautomer: str = "IGNORE", topn: int = -1, sort: bool = False, docfreq: DataFrame | None = None, screen: bool = True, posting: DataFrame | None = None) -> DataFrame:
+def similarity_search(molecules: DataFrame, query: str, threshold: float = 0.85, radius: int = 1, aromaticity: str = "AUTO", tautomer: str = "IGNORE", topn: int = -1, sort: bool = False, docfreq: DataFrame | None = None, screen: bool = True, posting: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
     """(compound, score): multiset Tanimoto of circular descriptors of radius 0..radius.
 
-    Candidates come from ``posting``, where it is given, else from the arrays of all rows.
+    Candidates come from ``posting``, where it is given, else from the arrays of all rows; ``members`` as in ``substructure_hits``.
     """
     if threshold is not None and not threshold > 0:
         raise ValueError("threshold must be above 0")
-    empty = molecules.select("compound", F.lit(0.0).cast("float").alias("score")).limit(0)
+    empty = each(molecules.select("compound", F.lit(0.0).cast("float").alias("score")), members).limit(0)
     if query is None or threshold is None or radius is None:
         return empty
     if not 0 <= radius <= 3:
@@ -203,12 +216,11 @@ def similarity_search(molecules: DataFrame, query: str, threshold: float = 0.85,
         s = multiset.tanimoto(common, size, F.lit(n))
         part = found.select("compound", s.alias("score")).filter(F.col("score") >= F.lit(threshold).cast("float"))
         out = part if out is None else out.unionByName(part).groupBy("compound").agg(F.max("score").alias("score"))
-    return empty if out is None else ordered(out, topn, sort)
+    return empty if out is None else ordered(each(out, members), topn, sort)
 
 
 def pair_similarity_udf():
     """similarity(a, b, radius, aromaticity) as a pandas UDF; null in, null out; unreadable, null."""
-
     @F.pandas_udf("float")
     def similarity(a: pd.Series, b: pd.Series, radius: pd.Series, aromaticity: pd.Series) -> pd.Series:
         def one(x, y, r, m):

@@ -1,7 +1,8 @@
 """Versioned Parquet indexes of molecule tables, kept in step by an audit queue.
 
-``<root>/<index>/segments/<name>/{molecules,postings,docfreq}`` are immutable, as are the lists of
-ids in ``deletes/<name>``. ``v=<N>/manifest.json`` says of which segments a version consists and
+``<root>/<index>/segments/<name>/{molecules,members,postings,docfreq}`` are immutable, as are the lists
+of ids in ``deletes/<name>``. ``molecules`` and ``postings`` hold each distinct text of a segment once,
+under a number; ``members`` says which compounds have it, and deletes take these away. ``v=<N>/manifest.json`` says of which segments a version consists and
 which lists apply to each, so a sync writes what is new and merges small segments only. The catalog
 names the current version of each index; it is written as a new numbered file, and the highest
 number counts, so readers keep the version they opened and a crash leaves the old catalog. Changes
@@ -22,13 +23,14 @@ from pyspark.sql import functions as F
 
 from moiety.operators import search
 from moiety.operators.rows import SCHEMA
-from moiety.operators.prepare import clustered, document_frequency, postings, prepare, split
+from moiety.operators.prepare import clustered, distinct, each, parse, postings, split
 
 _NAME = re.compile(r"^[a-zA-Z0-9_]+$")
 #: Rows of a file, some tens of MB: what one task of a search reads and verifies.
 ROWS_PER_FILE = 5_000
 #: Seconds after which a claim on a catalog number that led to no catalog is given up.
 STALE = 60
+ROWS, MEMBERS = f"{SCHEMA}, text_key string", "row long, compound long"
 POSTINGS, DOCFREQ = "field string, bit int, compound long", "field string, bit int, df long"
 AUDIT = "compound long, delete boolean"
 ERRORS = "timestamp timestamp, version int, compound long, message string"
@@ -53,7 +55,7 @@ class Entry:
 
 @dataclass
 class Segment:
-    """Part of a version: its rows, how many of them are deleted, and the lists that say which."""
+    """Part of a version: its compounds, how many of them are deleted, and the lists that say which."""
 
     name: str
     rows: int
@@ -61,6 +63,19 @@ class Segment:
     gone: list[str] = field(default_factory=list)
 
 
+@dataclass
+class View:
+    """One version: rows and postings of distinct texts (``compound`` is a row's number here), and who has them."""
+
+    rows: DataFrame
+    members: DataFrame
+    posting: DataFrame
+    docfreq: DataFrame
+
+    def each(self, found: DataFrame) -> DataFrame:
+        return each(found, self.members)
+
+
 class Conflict(RuntimeError):
     """Another writer changed the catalog meanwhile."""
 
@@ -197,31 +212,50 @@ class IndexStore:
     def _manifest(self, index: str, version: int) -> list[Segment]:
         return [Segment(**x) for x in json.loads(self._read_text(f"{self.root}/{index}/v={version}/manifest.json"))] if version else []
 
-    def _part(self, index: str, segment: Segment, what: str, schema: str) -> DataFrame:
-        """A segment's rows that are not deleted."""
-        df = self.spark.read.schema(schema).parquet(f"{self.root}/{index}/segments/{segment.name}/{what}")
+    def _file(self, index: str, segment: Segment, what: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{index}/segments/{segment.name}/{what}")
+
+    def _live(self, index: str, segment: Segment) -> DataFrame:
+        """A segment's members that are not deleted."""
+        df = self._file(index, segment, "members", MEMBERS)
         if not segment.gone:
             return df
         gone = self.spark.read.schema("compound long").parquet(*[f"{self.root}/{index}/deletes/{x}" for x in segment.gone])
-        return df.join(gone, "compound", "left_anti")
+        return df.join(gone, "compound", "left_anti").select("row", "compound")
 
-    def _whole(self, index: str, segments: list[Segment], what: str, schema: str) -> DataFrame:
+    def _union(self, parts: list[DataFrame], schema: str) -> DataFrame:
         out = None
-        for x in segments:
-            part = self._part(index, x, what, schema)
+        for part in parts:
             out = part if out is None else out.unionByName(part)
         return self.spark.createDataFrame([], schema) if out is None else out
 
-    def _write_segment(self, index: str, rows: DataFrame, expected: int, e: Entry, optimize: bool) -> Segment:
+    def _view(self, index: str, segments: list[Segment]) -> View:
+        """The segments' rows under numbers that are unique among them."""
+        n = len(segments)
+
+        def whole(what: str, schema: str, column: str = "compound") -> DataFrame:
+            parts = (self._live(index, x) if what == "members" else self._file(index, x, what, schema) for x in segments)
+            return self._union([df.withColumn(column, F.col(column) * n + i) if n > 1 else df for i, df in enumerate(parts)], schema)
+
+        df = self._union([self._file(index, x, "docfreq", DOCFREQ) for x in segments], DOCFREQ).groupBy("field", "bit").agg(F.sum("df").alias("df"))
+        return View(whole("molecules", ROWS), whole("members", MEMBERS, "row"), whole("postings", POSTINGS), df)
+
+    def _write_segment(self, index: str, rows: DataFrame, members: DataFrame, expected: int, optimize: bool) -> Segment:
+        """Of index rows with a text's digest as compound, and members (row: that digest, compound)."""
         name = uuid.uuid4().hex
         path = f"{self.root}/{index}/segments/{name}"
         if optimize:  # files keep a bounded number of rows however large the segment is
             rows = rows.repartition(max(1, -(-expected // ROWS_PER_FILE)), "compound").sortWithinPartitions("n_heavy", "compound")
-        rows.write.parquet(f"{path}/molecules")
-        stored = self.spark.read.schema(SCHEMA).parquet(f"{path}/molecules")
+        rows.withColumnRenamed("compound", "text_key").withColumn("compound", F.monotonically_increasing_id()).write.parquet(f"{path}/molecules")
+        stored = self.spark.read.schema(ROWS).parquet(f"{path}/molecules")
+        numbers = stored.select(F.col("text_key").alias("row"), F.col("compound").alias("number"))
+        members.join(numbers, "row").select(F.col("number").alias("row"), "compound").write.parquet(f"{path}/members")
+        own = self.spark.read.schema(MEMBERS).parquet(f"{path}/members")
         clustered(postings(stored)).write.parquet(f"{path}/postings")
-        document_frequency(self.spark.read.schema(POSTINGS).parquet(f"{path}/postings")).write.parquet(f"{path}/docfreq")
-        return Segment(name, stored.count())
+        # a bit's frequency counts compounds, not rows
+        held = stored.select("compound", "sub_bits", "sim_levels").join(own.groupBy(F.col("row").alias("compound")).agg(F.count("*").alias("n")), "compound")
+        postings(held, with_column="n").groupBy("field", "bit").agg(F.sum("n").alias("df")).write.parquet(f"{path}/docfreq")
+        return Segment(name, own.count())
 
     def sync_data(self, index: str, verbose: bool = False, optimize: bool = True, table: DataFrame | None = None) -> int:
         """Settle the queue in a new version: deletes go, rows that still exist are read anew.
@@ -237,22 +271,26 @@ class IndexStore:
         version, here = e.version + 1, f"{self.root}/{index}"
         fresh = source.select(F.col(e.id_column).cast("long").alias("compound"), F.col(e.structure_column).cast("string").alias("structure")).join(pending.select("compound"), "compound")
         temp = f"{here}/tmp-{uuid.uuid4().hex}"
-        # parsed once, written once; everything else reads that
-        prepare(fresh, "compound", "structure").write.parquet(f"{temp}/prepared")
-        good, bad = split(self.spark.read.schema(f"{SCHEMA}, message string").parquet(f"{temp}/prepared"))
+        # the source is read once, and each text parsed once; everything else reads what that wrote
+        fresh.write.parquet(f"{temp}/fresh")
+        texts, members = distinct(self.spark.read.schema("compound long, structure string").parquet(f"{temp}/fresh"), "compound", "structure")
+        members.write.parquet(f"{temp}/members")
+        members = self.spark.read.schema("row string, compound long").parquet(f"{temp}/members")
+        parse(texts).write.parquet(f"{temp}/prepared")
+        good, bad = split(self.spark.read.schema(f"{SCHEMA}, message string".replace("compound long", "compound string")).parquet(f"{temp}/prepared"))
         segments = self._manifest(index, e.version)
         if segments:  # a compound read anew replaces its old row, also if it was only queued as an insert
             name = uuid.uuid4().hex
             pending.select("compound").write.parquet(f"{here}/deletes/{name}")
             gone = self.spark.read.schema("compound long").parquet(f"{here}/deletes/{name}")
             for x in segments:
-                n = self._part(index, x, "molecules", SCHEMA).select("compound").join(gone, "compound", "left_semi").count()
+                n = self._live(index, x).select("compound").join(gone, "compound", "left_semi").count()
                 if n:
                     x.deletes, x.gone = x.deletes + n, [*x.gone, name]
             segments = [x for x in segments if x.rows > x.deletes]
         n = good.count()  # from Parquet statistics of one column
         if n or not segments:
-            segments.append(self._write_segment(index, good, n, e, optimize))
+            segments.append(self._write_segment(index, good, members, n, optimize))
         if optimize:
             merged = []
             for group in balanced_merge([x.rows - x.deletes for x in segments], e.segments):
@@ -260,9 +298,9 @@ class IndexStore:
                 live = sum(x.rows - x.deletes for x in own)
                 # a segment most of whose rows are deleted is written again too
                 again = len(own) > 1 or 2 * live < own[0].rows
-                merged.append(self._write_segment(index, self._whole(index, own, "molecules", SCHEMA), live, e, True) if again else own[0])
+                merged.append(self._merged(index, own, live) if again else own[0])
             segments = merged
-        notes = bad.select(F.current_timestamp().alias("timestamp"), F.lit(version).alias("version"), "compound", "message")
+        notes = each(bad, members).select(F.current_timestamp().alias("timestamp"), F.lit(version).alias("version"), "compound", "message")
         notes.write.mode("append").parquet(f"{here}/errors")
         if verbose:
             print(f"{index}: version {version}, {sum(x.rows - x.deletes for x in segments)} molecules in {len(segments)} segments")
@@ -276,6 +314,13 @@ class IndexStore:
             self._remove(f"{here}/audit/{name}")
         return version
 
+    def _merged(self, index: str, own: list[Segment], live: int) -> Segment:
+        """One segment of what is live in several; a text that more than one has is kept once."""
+        view = self._view(index, own)
+        members = view.members.join(view.rows.select(F.col("compound").alias("row"), "text_key"), "row").select(F.col("text_key").alias("row"), "compound")
+        rows = view.rows.join(view.members.select(F.col("row").alias("compound")), "compound", "left_semi").dropDuplicates(["text_key"])
+        return self._write_segment(index, rows.drop("compound").withColumnRenamed("text_key", "compound"), members, live, True)
+
     def cleanup(self, index: str) -> list[str]:
         """Remove every version but the current one, and what no version needs; names that are none of ours are warned of."""
         e, gone = self.entry(index), []
@@ -299,28 +344,33 @@ class IndexStore:
         if index in self._open:
             self._open.pop(index)[1].unpersist()
 
-    def molecules(self, index: str, cache: bool = False) -> DataFrame:
+    def view(self, index: str, cache: bool = False) -> View:
+        """The current version; with ``cache`` its rows are kept in memory."""
         e = self._synced(index)
-        df = self._whole(index, self._manifest(index, e.version), "molecules", SCHEMA)
-        if not cache:
-            return df
-        if index in self._open and self._open[index][0] != e.version:
-            self._close(index)
-        if index not in self._open:
-            self._open[index] = (e.version, df.cache())
-        return self._open[index][1]
+        out = self._view(index, self._manifest(index, e.version))
+        if cache:
+            if index in self._open and self._open[index][0] != e.version:
+                self._close(index)
+            if index not in self._open:
+                self._open[index] = (e.version, out.rows.cache())
+            out.rows = self._open[index][1]
+        return out
+
+    def molecules(self, index: str, cache: bool = False) -> DataFrame:
+        v = self.view(index, cache)
+        return v.each(v.rows.drop("text_key"))
 
     def ids(self, index: str) -> DataFrame:
         """(compound) of the current version; none before the first sync."""
-        return self.molecules(index).select("compound") if self.entry(index).version else self.spark.createDataFrame([], "compound long")
+        return self.view(index).members.select("compound") if self.entry(index).version else self.spark.createDataFrame([], "compound long")
 
     def docfreq(self, index: str) -> DataFrame:
-        """(field, bit, df); deleted rows count until their segment is merged, as only the order of bits depends on it."""
-        segments = [Segment(x.name, x.rows) for x in self._manifest(index, self._synced(index).version)]
-        return self._whole(index, segments, "docfreq", DOCFREQ).groupBy("field", "bit").agg(F.sum("df").alias("df"))
+        """(field, bit, df) in compounds; deleted ones count until their segment is merged, as only the order of bits depends on it."""
+        return self.view(index).docfreq
 
     def postings(self, index: str) -> DataFrame:
-        return self._whole(index, self._manifest(index, self._synced(index).version), "postings", POSTINGS)
+        v = self.view(index)
+        return v.each(v.posting)
 
     def errors(self, index: str) -> DataFrame:
         path = f"{self.root}/{index}/errors"
@@ -338,10 +388,12 @@ class IndexStore:
         return self.spark.createDataFrame(rows, "name string, molecules int, deletes int, size long")
 
     def substructure_search(self, index: str, query: str, cache: bool = False, **args) -> DataFrame:
-        return search.substructure_search(self.molecules(index, cache), query, docfreq=self.docfreq(index), posting=self.postings(index), **args)
+        v = self.view(index, cache)
+        return search.substructure_search(v.rows, query, docfreq=v.docfreq, posting=v.posting, members=v.members, **args)
 
     def similarity_search(self, index: str, query: str, cache: bool = False, **args) -> DataFrame:
-        return search.similarity_search(self.molecules(index, cache), query, docfreq=self.docfreq(index), posting=self.postings(index), **args)
+        v = self.view(index, cache)
+        return search.similarity_search(v.rows, query, docfreq=v.docfreq, posting=v.posting, members=v.members, **args)
 
 
 def collapse(events: DataFrame) -> DataFrame:

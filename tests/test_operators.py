@@ -289,3 +289,23 @@ def test_empty_table(spark, table):
     good, bad = split(prepare(table.limit(0)))
     assert good.count() == bad.count() == 0
     assert search.substructure_search(good, "CO").count() == 0
+
+
+def test_an_index_holds_each_text_once(spark, tmp_path):
+    """Rows and postings of 300 compounds of three texts are those of three rows, through deletes and merges too."""
+    rows = spark.range(300).select("id", F.element_at(F.array(F.lit("CCO"), F.lit("CCN"), F.lit("CCCl")), (F.col("id") % 3 + 1).cast("int")).alias("molfile"))
+    store = IndexStore(spark, f"file://{tmp_path}")
+    store.add_index("m", "", "t", segments=1, table=rows)
+    store.sync_data("m", table=rows)
+    assert spark.read.parquet(f"{tmp_path}/m/segments/*/molecules").count() == 3
+    posting = spark.read.parquet(f"{tmp_path}/m/segments/*/postings")
+    assert posting.count() == posting.distinct().count() == store.postings("m").filter("compound < 3").count()
+    assert store.molecules("m").count() == store.index_size("m") == 300 and store.docfreq("m").agg(F.max("df")).first()[0] == 300
+    now = rows.filter("id % 3 <> 1").unionByName(spark.createDataFrame([(900, "CCCl"), (901, "OCCO")], "id long, molfile string"))
+    store.capture("m", rows, now)
+    store.sync_data("m", table=now)
+    store.cleanup("m")
+    assert sorted(r["text"] for r in store.view("m").rows.select(F.col("text_key").alias("text")).collect()) == sorted({r["t"] for r in now.select(F.sha2("molfile", 256).alias("t")).collect()})
+    assert ids(store.substructure_search("m", "CCl")) == [*range(2, 300, 3), 900] and ids(store.substructure_search("m", "CN")) == []
+    assert [r["compound"] for r in store.substructure_search("m", "CCl", topn=2).collect()] == [2, 5]
+    assert store.docfreq("m").agg(F.max("df")).first()[0] == store.index_size("m") == store.ids("m").count() == 202
