@@ -309,3 +309,18 @@ def test_an_index_holds_each_text_once(spark, tmp_path):
     assert ids(store.substructure_search("m", "CCl")) == [*range(2, 300, 3), 900] and ids(store.substructure_search("m", "CN")) == []
     assert [r["compound"] for r in store.substructure_search("m", "CCl", topn=2).collect()] == [2, 5]
     assert store.docfreq("m").agg(F.max("df")).first()[0] == store.index_size("m") == store.ids("m").count() == 202
+
+
+def test_sql_numbers_all_rows_only_for_topn(spark, table, tmp_path):
+    store = IndexStore(spark, f"file://{tmp_path}")
+    twice = table.unionByName(table.withColumn("id", F.col("id") + 100))
+    store.add_index("twice", "", "t", table=twice)
+    store.sync_data("twice", table=twice)
+    sql.register_index(store, "twice")
+    all_ = spark.sql("SELECT q.q, r.compound FROM VALUES ('CN'), ('CO') q(q), LATERAL substructure_search(q.q) r")
+    numbered = [x for x in all_._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [row_number" in x]
+    assert all("compound#" in x.split("], [")[1] or "spread#" in x.split("], [")[1] for x in numbered), numbered
+    assert sorted(map(tuple, all_.collect())) == [("CN", i) for i in (2, 7, 102, 107)] + [("CO", i) for i in (1, 3, 6, 7, 8, 101, 103, 106, 107, 108)]
+    best = spark.sql("SELECT q.q, r.compound FROM VALUES ('CN'), ('CO') q(q), LATERAL substructure_search(q.q, topn => 2) r")
+    assert sorted(map(tuple, best.collect())) == [("CN", 2), ("CN", 102), ("CO", 1), ("CO", 8)]
+    assert spark.sql("SELECT index_size() AS n").first()["n"] == 12 and spark.sql("SELECT * FROM twice").count() == 12
