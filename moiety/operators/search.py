@@ -26,6 +26,8 @@ MOST_BITS, COVERAGE = 32, 2
 RARE = 3
 #: Rows that are Python objects at a time; Arrow batches hold many more.
 AT_ONCE = 500
+#: Pairs whose similarity a task remembers.
+REMEMBER = 1_000
 _TINY = 1.401298464324817e-45  # the least positive 32-bit value
 
 
@@ -220,16 +222,23 @@ def similarity_search(molecules: DataFrame, query: str, threshold: float = 0.85,
 
 
 def pair_similarity_udf():
-    """similarity(a, b, radius, aromaticity) as a pandas UDF; null in, null out; unreadable, null."""
+    """similarity(a, b, radius, aromaticity) as a pandas UDF; null in, null out; unreadable, null. A task remembers REMEMBER pairs."""
+    known: dict = {}
+
     @F.pandas_udf("float")
     def similarity(a: pd.Series, b: pd.Series, radius: pd.Series, aromaticity: pd.Series) -> pd.Series:
         def one(x, y, r, m):
             if x is None or y is None or r is None or m is None or (isinstance(r, float) and math.isnan(r)):
                 return None
-            try:
-                return structures.pair_similarity(x, y, int(r), m)
-            except ValueError:
-                return None
+            key = (x, y, int(r), m)
+            if key not in known:
+                if len(known) >= REMEMBER:
+                    known.clear()
+                try:
+                    known[key] = structures.pair_similarity(*key)
+                except ValueError:
+                    known[key] = None
+            return known[key]
 
         return pd.Series([one(*v) for v in zip(a, b, radius, aromaticity)], dtype="float32")
 

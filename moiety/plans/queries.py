@@ -10,7 +10,7 @@ from moiety.functions.hashing import fold_columns
 from moiety.functions.matching import Modes, Query
 from moiety.operators import graphjoin, multiset, search
 from moiety.operators import prepare as prepare_
-from moiety.operators.prepare import document_frequency, postings, prepare, split
+from moiety.operators.prepare import distinct, document_frequency, each, parse, postings, prepare, split
 from moiety.plans import fixtures as X
 from moiety.sources.index import collapse, event_changes
 
@@ -298,6 +298,22 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
     return split(prepare(X.molecules(spark, d)))[0]
 
 
+def _rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Index rows of the distinct structures, and the members of each: what a search needs."""
+    texts, members = distinct(X.molecules(spark, d))
+    return split(parse(texts))[0], members
+
+
+def _substructure(spark: SparkSession, d: str, text: str, **args) -> DataFrame:
+    rows, members = _rows(spark, d)
+    return search.substructure_search(rows, text, members=members, **args)
+
+
+def _near_ethanol(spark: SparkSession, d: str, **args) -> DataFrame:
+    rows, members = _rows(spark, d)
+    return search.similarity_search(rows, "CCO", threshold=0.3, members=members, **args)
+
+
 @query("s12_errors", f"SELECT p_partkey AS compound FROM part WHERE p_partkey % {_N} IN {_at('not a molecule(').replace(',)', ')')}")
 def errors(spark: SparkSession, d: str) -> DataFrame:
     return split(prepare(X.molecules(spark, d)))[1].select("compound")
@@ -310,8 +326,7 @@ def index_size(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_sub_benzene", f"SELECT p_partkey AS compound FROM part WHERE p_partkey % {_N} IN {_at('c1ccccc1', 'C1=CC=CC=C1', 'c1ccc2ccccc2c1', 'Oc1ccccc1')}")
 def benzene(spark: SparkSession, d: str) -> DataFrame:
-    m = _index(spark, d)
-    return search.substructure_search(m, "c1ccccc1").select("compound")
+    return _substructure(spark, d, "c1ccccc1").select("compound")
 
 
 @query("q_sub_alcohol", f"""SELECT p_partkey AS compound, CAST(CASE p_partkey % {_N} WHEN {X.MOLECULES.index('CCO')} THEN (8 * (CAST(2 AS DOUBLE) / 3) + 4 * (CAST(1 AS DOUBLE) / 2)) / 15
@@ -324,22 +339,22 @@ def benzene(spark: SparkSession, d: str) -> DataFrame:
    ELSE (8 * CAST(1 AS DOUBLE) + 4 * CAST(1 AS DOUBLE)) / 15 END AS FLOAT) AS score
    FROM part WHERE p_partkey % {_N} IN {_at('CCO', 'OCCO', 'CC(=O)O', 'N[C@@H](C)C(=O)O', 'N[C@H](C)C(=O)O', 'CC(O)=C', 'Oc1ccccc1', '[2H]OC', '[H]OC')}""")
 def alcohol(spark: SparkSession, d: str) -> DataFrame:
-    return search.substructure_search(_index(spark, d), "CO")
+    return _substructure(spark, d, "CO")
 
 
 @query("q_sub_stereo", f"SELECT p_partkey AS compound FROM part WHERE p_partkey % {_N} IN ({X.MOLECULES.index('N[C@@H](C)C(=O)O')})")
 def enantiomer(spark: SparkSession, d: str) -> DataFrame:
-    return search.substructure_search(_index(spark, d), "OC(=O)[C@H](C)N", stereo="STRICT").select("compound")
+    return _substructure(spark, d, "OC(=O)[C@H](C)N", stereo="STRICT").select("compound")
 
 
 @query("q_sub_tautomer", f"SELECT p_partkey AS compound FROM part WHERE p_partkey % {_N} IN {_at('CC(C)=O', 'CC(O)=C')}")
 def tautomer(spark: SparkSession, d: str) -> DataFrame:
-    return search.substructure_search(_index(spark, d), "CC(O)=C", search="EXACT", tautomer="INCHI").select("compound")
+    return _substructure(spark, d, "CC(O)=C", search="EXACT", tautomer="INCHI").select("compound")
 
 
 def _hand(query_text: str, *names: str, **modes):
     """A search over the molecule table whose hits are known by hand."""
-    return lambda spark, d: search.substructure_search(_index(spark, d), query_text, **modes).select("compound"), f"SELECT p_partkey AS compound FROM part WHERE p_partkey % {_N} IN ({', '.join(str(X.MOLECULES.index(n)) for n in names)})"
+    return lambda spark, d: _substructure(spark, d, query_text, **modes).select("compound"), f"SELECT p_partkey AS compound FROM part WHERE p_partkey % {_N} IN ({', '.join(str(X.MOLECULES.index(n)) for n in names)})"
 
 
 for _name, (_run, _sql) in {
@@ -350,7 +365,7 @@ for _name, (_run, _sql) in {
     "p4_hydrogen_count": _hand("[H]OC", "[2H]OC", "CCO", "CC(=O)O", "N[C@@H](C)C(=O)O", "N[C@H](C)C(=O)O", "CC(O)=C", "[H]OC", "OCCO", "Oc1ccccc1"),
     "p8_double_bond_stereo": _hand("F\\C=C\\F", "F/C=C/F", stereo="STRICT"),
     "m2_detected_aromatic": _hand("C1=CC=CC=C1", "c1ccccc1", "C1=CC=CC=C1", "c1ccc2ccccc2c1", "Oc1ccccc1", aromaticity="DETECT"),
-    "m2_preserved_kekule": (lambda spark, d: search.substructure_search(_index(spark, d), "C1=CC=CC=C1", aromaticity="PRESERVE").select("compound"), "SELECT p_partkey AS compound FROM part WHERE 1 = 0"),
+    "m2_preserved_kekule": (lambda spark, d: _substructure(spark, d, "C1=CC=CC=C1", aromaticity="PRESERVE").select("compound"), "SELECT p_partkey AS compound FROM part WHERE 1 = 0"),
     "fp6_ring_query": _hand("C1CCCCC1", "C1CCCCC1"),
 }.items():
     query(_name, _sql)(_run)
@@ -377,24 +392,27 @@ def _values(rows: dict[str, tuple]) -> str:
 @query("q_sim_molecules_all", f"SELECT p_partkey AS compound, CAST(CAST(shared AS DOUBLE) / (6 + n - shared) AS FLOAT) AS score FROM part JOIN (VALUES {_values(_SHARED)}) v(k, n, shared) ON p_partkey % {_N} = k WHERE shared >= 0.3 * (6 + n - shared)")
 def similar_molecules_all(spark: SparkSession, d: str) -> DataFrame:
     """Ethanol against all at radius 1, every hit."""
-    return search.similarity_search(_index(spark, d), "CCO", threshold=0.3)
+    return _near_ethanol(spark, d)
 
 
 @query("q_pair_all", f"""SELECT p_partkey AS compound, CAST(CAST(shared AS DOUBLE) / (3 + n - shared) AS FLOAT) AS score
   FROM part LEFT JOIN (SELECT k, n, least(c, 2) + least(o, 1) AS shared FROM (VALUES {_values(_ATOMS)}) v(k, n, c, o)) ON p_partkey % {_N} = k""")
 def pair_all(spark: SparkSession, d: str) -> DataFrame:
     """Each row's structure with ethanol, null for the unreadable one."""
-    return X.molecules(spark, d).select(F.col("id").cast("long").alias("compound"), search.similarity(F.col("molfile"), F.lit("CCO")).alias("score"))
+    texts, members = distinct(X.molecules(spark, d))
+    return each(texts.select("compound", search.similarity(F.col("structure"), F.lit("CCO")).alias("score")), members)
 
 
 @query("fp6_screening", f"SELECT p_partkey AS compound, TRUE AS screened, TRUE AS \"all\" FROM part WHERE p_partkey % {_N} IN {_at('c1ccccc1', 'C1=CC=CC=C1', 'c1ccc2ccccc2c1', 'Oc1ccccc1')}")
 def screening(spark: SparkSession, d: str) -> DataFrame:
     """Candidates with screening bits, against all that match: none may be lost."""
-    m = _index(spark, d).cache()
+    m, members = _rows(spark, d)
+    m = m.cache()
     df = document_frequency(postings(m))
     on = search.substructure_search(m, "c1ccccc1", docfreq=df).select("compound", F.lit(True).alias("screened"))
     off = search.substructure_search(m, "c1ccccc1", screen=False).select("compound", F.lit(True).alias("all"))
-    return on.join(off, "compound", "full_outer").select("compound", F.coalesce("screened", F.lit(False)).alias("screened"), F.coalesce("all", F.lit(False)).alias("all"))
+    both = on.join(off, "compound", "full_outer").select("compound", F.coalesce("screened", F.lit(False)).alias("screened"), F.coalesce("all", F.lit(False)).alias("all"))
+    return each(both, members)
 
 
 @query("s11_index_rows")
@@ -404,7 +422,7 @@ def index_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Similarity search over the molecule table."""
-    return search.similarity_search(_index(spark, d), "CCO", threshold=0.3, sort=True)
+    return _near_ethanol(spark, d, sort=True)
 
 
 from moiety.plans import generated  # noqa: E402

@@ -324,3 +324,20 @@ def test_sql_numbers_all_rows_only_for_topn(spark, table, tmp_path):
     best = spark.sql("SELECT q.q, r.compound FROM VALUES ('CN'), ('CO') q(q), LATERAL substructure_search(q.q, topn => 2) r")
     assert sorted(map(tuple, best.collect())) == [("CN", 2), ("CN", 102), ("CO", 1), ("CO", 8)]
     assert spark.sql("SELECT index_size() AS n").first()["n"] == 12 and spark.sql("SELECT * FROM twice").count() == 12
+
+
+def test_a_pair_is_compared_once(monkeypatch):
+    import pandas as pd
+
+    calls, plain = [], search.structures.pair_similarity
+    monkeypatch.setattr(search.structures, "pair_similarity", lambda *key: calls.append(key) or plain(*key))
+    got = search.pair_similarity_udf().func(pd.Series(["CCN", "bad("] * 50), pd.Series(["CCO"] * 100), pd.Series([1] * 100), pd.Series(["AUTO"] * 100))
+    assert len(calls) == 2 and list(got[:1]) == [0.5] and got.isna().sum() == 50
+
+
+def test_few_rows_are_python_objects_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"compound": list(range(10_000))})
+    sizes = [b.num_rows for b in search.slices(iter([batch]))]
+    assert sum(sizes) == 10_000 and max(sizes) <= search.AT_ONCE
