@@ -140,7 +140,8 @@ def ordered(hits: DataFrame, topn: int = -1, sort: bool = False) -> DataFrame:
     if topn == 0:
         return hits.limit(0)
     if topn < 0:
-        return hits.orderBy(F.desc("score"), "compound") if sort else hits
+        # bounds of the ranges are sampled first: from the hits, not by a second run of the matcher
+        return hits.repartition("compound").orderBy(F.desc("score"), "compound") if sort else hits
     return hits.orderBy(F.desc("score"), "compound").limit(topn)
 
 

@@ -341,3 +341,12 @@ def test_few_rows_are_python_objects_at_a_time():
     batch = pa.RecordBatch.from_pydict({"compound": list(range(10_000))})
     sizes = [b.num_rows for b in search.slices(iter([batch]))]
     assert sum(sizes) == 10_000 and max(sizes) <= search.AT_ONCE
+
+
+def test_sorting_runs_the_matcher_once(molecules):
+    """Ranges are sampled from a shuffle of the hits."""
+    plan = search.substructure_search(molecules, "CO", sort=True)._jdf.queryExecution().executedPlan().toString()
+    order = [plan.index(x) for x in ("rangepartitioning", "hashpartitioning", "MapInArrow")]
+    assert order == sorted(order)
+    got = [(-r["score"], r["compound"]) for r in search.substructure_search(molecules, "CO", sort=True).collect()]
+    assert got == sorted(got) and len(got) == 5
