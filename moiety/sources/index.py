@@ -290,7 +290,7 @@ class IndexStore:
             segments = [x for x in segments if x.rows > x.deletes]
         n = good.count()  # from Parquet statistics of one column
         if n or not segments:
-            segments.append(self._write_segment(index, good, members, n, optimize))
+            segments.append(self._write_segment(index, good, members if n else members.limit(0), n, optimize))
         if optimize:
             merged = []
             for group in balanced_merge([x.rows - x.deletes for x in segments], e.segments):
@@ -300,8 +300,10 @@ class IndexStore:
                 again = len(own) > 1 or 2 * live < own[0].rows
                 merged.append(self._merged(index, own, live) if again else own[0])
             segments = merged
-        notes = each(bad, members).select(F.current_timestamp().alias("timestamp"), F.lit(version).alias("version"), "compound", "message")
-        notes.write.mode("append").parquet(f"{here}/errors")
+        # a join with no rows on one side ends before its other scan, whose tasks would then miss the files of temp
+        if not bad.isEmpty():
+            notes = each(bad, members).select(F.current_timestamp().alias("timestamp"), F.lit(version).alias("version"), "compound", "message")
+            notes.write.mode("append").parquet(f"{here}/errors")
         if verbose:
             print(f"{index}: version {version}, {sum(x.rows - x.deletes for x in segments)} molecules in {len(segments)} segments")
         self._remove(temp)

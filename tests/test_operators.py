@@ -311,6 +311,19 @@ def test_an_index_holds_each_text_once(spark, tmp_path):
     assert store.docfreq("m").agg(F.max("df")).first()[0] == store.index_size("m") == store.ids("m").count() == 202
 
 
+def test_a_sync_without_failures_joins_no_members_for_errors(spark, table, tmp_path):
+    """Such a join ended at once, and its scan of the members went on while their files were removed."""
+    store = IndexStore(spark, f"file://{tmp_path}")
+    clean = table.filter("molfile = 'CCO'")
+    store.add_index("m", "", "t", table=clean)
+    store.sync_data("m", table=clean)
+    assert clean.count() and store.index_size("m") == clean.count()
+    assert not (tmp_path / "m" / "errors").exists() and store.errors("m").count() == 0
+    store.add_index("bad", "", "t", table=spark.createDataFrame([(1, "not a molecule(")], "id long, molfile string"))
+    store.sync_data("bad", table=spark.createDataFrame([(1, "not a molecule(")], "id long, molfile string"))
+    assert store.index_size("bad") == store.molecules("bad").count() == 0 and store.errors("bad").count() == 1
+
+
 def test_sql_numbers_all_rows_only_for_topn(spark, table, tmp_path):
     store = IndexStore(spark, f"file://{tmp_path}")
     twice = table.unionByName(table.withColumn("id", F.col("id") + 100))
